@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from lattica.llm.common import table
 from lattica.llm.exact_dedup import exact_dedup
 from lattica.llm.packing import pack
+from lattica.llm.pii import find_pii
+from lattica.llm.quality import classify
 from lattica.llm.token_count import count_tokens
 
 
@@ -24,8 +26,16 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark, table(spark, sf_dir, "documents"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(spark, table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_exact_dedup, op4_best_fit_packing)}
+    return {f.__name__: f for f in (op1_token_counts, op3_exact_dedup, op4_best_fit_packing, op5_quality_classifier, op9_personal_data)}
 
 
 def oracle_sql() -> dict[str, str]:
