@@ -12,6 +12,7 @@ from lattica.llm.packing import pack
 from lattica.llm.pii import find_pii
 from lattica.llm.quality import classify
 from lattica.llm.token_count import count_tokens
+from lattica.llm.warc import round_trip
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,16 +31,27 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(spark, table(spark, sf_dir, "pages"))
+
+
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(spark, table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_exact_dedup, op4_best_fit_packing, op5_quality_classifier, op9_personal_data)}
+    return {f.__name__: f for f in (op1_token_counts, op3_exact_dedup, op4_best_fit_packing, op5_quality_classifier, op8_warc_archives, op9_personal_data)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op8_warc_archives": """
+            WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+                 c AS (SELECT payload_digest AS d, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+            SELECT page_id, payload_bytes, payload_digest,
+                   CASE WHEN payload_bytes >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+                   CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to
+            FROM p LEFT JOIN c ON payload_digest = d""",
         "op3_exact_dedup": r"""
             WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS chars,
                               regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
