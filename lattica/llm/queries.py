@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lattica.llm.common import table
 from lattica.llm.exact_dedup import exact_dedup
 from lattica.llm.fingerprints import fingerprints
+from lattica.llm.lm_scores import score_texts
 from lattica.llm.packing import pack
 from lattica.llm.pii import find_pii
 from lattica.llm.quality import classify
@@ -36,6 +37,10 @@ def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(spark, table(spark, sf_dir, "documents"))
 
 
+def op7_language_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(spark, table(spark, sf_dir, "documents"))
+
+
 def op8_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(spark, table(spark, sf_dir, "pages"))
 
@@ -45,7 +50,7 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_exact_dedup, op4_best_fit_packing, op5_quality_classifier, op6_document_fingerprints, op8_warc_archives, op9_personal_data)}
+    return {f.__name__: f for f in (op1_token_counts, op3_exact_dedup, op4_best_fit_packing, op5_quality_classifier, op6_document_fingerprints, op7_language_model_scores, op8_warc_archives, op9_personal_data)}
 
 
 def oracle_sql() -> dict[str, str]:
