@@ -129,7 +129,7 @@ def pack_pieces(spark: SparkSession, cut: DataFrame, capacity: int = SEQUENCE, b
     placed = cut.select("_row", "length", F.pmod(F.xxhash64("_row"), F.lit(blocks)).alias("block"))
     on_islands = placed.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))))
 
-    def island(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def island(key, rows):
         rows = rows.sort_values(["length", "_row"])
         sizes = rows["length"].tolist()
         bins = evolve(sizes, capacity, seed=int(key[0]) * 101 + int(key[1]))
@@ -141,7 +141,7 @@ def pack_pieces(spark: SparkSession, cut: DataFrame, capacity: int = SEQUENCE, b
 
     elites = on_islands.groupBy("block", "island").applyInPandas(island, "_row long, length long, block long, island int, bin long")
 
-    def settle(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def settle(key, rows):
         rows = rows.sort_values(["length", "_row", "island"])
         one = rows[rows["island"] == 0]
         sizes = one["length"].tolist()
@@ -166,10 +166,10 @@ def pack_pieces(spark: SparkSession, cut: DataFrame, capacity: int = SEQUENCE, b
         offset = rows.groupby("bin")["length"].cumsum() - rows["length"]
         return pd.DataFrame({"_row": rows["_row"], "sequence_id": rows["bin"] + first, "offset": offset})
 
-    def done(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def done(key, rows):
         return numbered(rows, int(key[0]) << 20)
 
-    def merged(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def merged(key, rows):
         rows = rows.sort_values(["length", "_row"]).reset_index(drop=True)
         sizes = rows["length"].tolist()
         old: dict = {}

@@ -31,15 +31,23 @@ def load(path: str | None = None):
 
 
 class WordIds(dict):
-    """word (UTF-8 bytes) -> its ids, as little-endian unsigned 32-bit bytes. At most max_words are kept."""
+    """word (UTF-8 bytes) -> its ids, as little-endian unsigned 32-bit bytes.
 
-    def __init__(self, path: str | None = None, max_words: int = 600_000):
+    At most max_words are kept, in two generations: when the young one is full it becomes the old one, from which
+    words that still occur come back.
+    """
+
+    def __init__(self, path: str | None = None, max_words: int = 1_500_000):
         super().__init__()
-        self.tokenizer, self.max_words = load(path), max_words
+        self.tokenizer, self.young, self.old = load(path), max_words // 2, {}
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= self.max_words:
+        if len(self) >= self.young:
+            self.old = dict(self)
             self.clear()
+        if (ids := self.old.get(word)) is not None:
+            self[word] = ids
+            return ids
         lower = word.lower()  # ASCII letters only, which the tokenizer lowers too
         if b"<|" in word:  # perhaps an added special string, which is told by case
             ids = self._encoded(word)
