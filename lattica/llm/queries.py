@@ -10,6 +10,7 @@ from lattica.llm.common import table
 from lattica.llm.exact_dedup import exact_dedup
 from lattica.llm.fingerprints import fingerprints
 from lattica.llm.lm_scores import score_texts
+from lattica.llm.near_copies import near_copies
 from lattica.llm.packing import pack
 from lattica.llm.pii import find_pii
 from lattica.llm.quality import classify
@@ -49,8 +50,12 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(spark, table(spark, sf_dir, "documents"))
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies(spark, table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_exact_dedup, op4_best_fit_packing, op5_quality_classifier, op6_document_fingerprints, op7_language_model_scores, op8_warc_archives, op9_personal_data)}
+    return {f.__name__: f for f in (op1_token_counts, op3_exact_dedup, op4_best_fit_packing, op5_quality_classifier, op6_document_fingerprints, op7_language_model_scores, op8_warc_archives, op9_personal_data, op10_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
