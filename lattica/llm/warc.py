@@ -1,8 +1,8 @@
 """WARC archives with a two-level capture index.
 
-Pages are dealt by range of their key (host reversed, then path; then page id), so an archive file holds neighbouring
-captures. Each record is its own gzip member. The index has two levels: lines sorted by key in compressed blocks of
-LINES, and a sparse directory with a row for each block. A lookup searches the directory by bisection, reads one
+Each task writes its pages in the order of their key (host reversed, then path; then page id), so reading captures in
+index order reads every archive file from front to back. Each record is its own gzip member. The index has two levels: lines sorted
+by key in compressed blocks of LINES, and a sparse directory with a row for each block. A lookup searches the directory by bisection, reads one
 block by its range, searches that by bisection, and reads the record by its range.
 """
 
@@ -145,7 +145,6 @@ def write_archives(spark: SparkSession, pages: DataFrame, id: str = "page_id", u
     path = path or new_path(spark, "warc")
     rows = pages.select(F.col(id).cast("long").alias("_id"), F.col(url).alias("_url"), F.coalesce(F.col(html), F.lit("")).cast("binary").alias("_html"))
     rows = rows.join(revisits(spark, pages, id, html), "_id", "left").withColumn("_key", surt("_url"))
-    # a revisit needs its payload's hash and length only once it is written, so the payload travels with it
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, top = _fs(path)
@@ -168,7 +167,7 @@ def write_archives(spark: SparkSession, pages: DataFrame, id: str = "page_id", u
         if out is not None:
             out.close()
 
-    captures = rows.repartitionByRange("_key", "_id").select("_key", "_id", "_url", "_html", "refers_to").mapInArrow(write, "key string, id long, file string, offset long, length long")
+    captures = rows.sortWithinPartitions("_key", "_id").select("_key", "_id", "_url", "_html", "refers_to").mapInArrow(write, "key string, id long, file string, offset long, length long")
     lines = written(spark, captures, "captures")
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
