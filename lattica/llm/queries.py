@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lattica.llm.common import table
+from lattica.llm.common import held_out, table
 from lattica.llm.exact_dedup import exact_dedup
 from lattica.llm.fingerprints import fingerprints
 from lattica.llm.lm_scores import score_texts
+from lattica.llm.mixing import mix
 from lattica.llm.near_copies import near_copies
 from lattica.llm.packing import pack
 from lattica.llm.pii import find_pii
@@ -22,6 +24,20 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(spark, table(spark, sf_dir, "documents"))
 
 
+#: Target shares of the languages' tokens.
+LANGUAGES = {"de": 0.17, "en": 0.50, "es": 0.15, "fr": 0.18}
+
+
+def language_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, domain): the language of the labelled documents of good quality; those held out for tests are not among them."""
+    good = table(spark, sf_dir, "labels").filter((F.col("quality") == 1) & ~held_out("doc_id", 0)).select("doc_id")
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("domain")).join(good, "doc_id", "left_semi")
+
+
+def op2_mixing_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(spark, table(spark, sf_dir, "documents"), language_labels(spark, sf_dir), LANGUAGES)
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(spark, table(spark, sf_dir, "documents"))
 
@@ -55,7 +71,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_exact_dedup, op4_best_fit_packing, op5_quality_classifier, op6_document_fingerprints, op7_language_model_scores, op8_warc_archives, op9_personal_data, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op1_token_counts, op2_mixing_to_targets, op3_exact_dedup, op4_best_fit_packing, op5_quality_classifier, op6_document_fingerprints, op7_language_model_scores, op8_warc_archives, op9_personal_data, op10_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
