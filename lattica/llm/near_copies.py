@@ -391,3 +391,10 @@ def _across(spark: SparkSession, large: DataFrame, links: DataFrame, percent: in
     cells = every.unionByName(rest).join(large.select("cid", "s1", "s2", "prefix", "grams"), ["cid", "s1", "s2"])
     three = written(spark, _links(spark, cells, ["cluster", "i", "j"], percent), "links-rest")
     return two.unionByName(three)
+
+
+def first_of_each(spark: SparkSession, docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, all columns, whose id is the least of their component; rows without an id stay."""
+    found = near_copies(spark, docs, id, text, words, percent)
+    gone = found.filter(F.col(id) != F.col("component_id")).select(F.col(id).alias("_gone")).distinct()
+    return docs.join(gone, F.col(id) == F.col("_gone"), "left_anti")
