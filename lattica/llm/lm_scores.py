@@ -32,7 +32,7 @@ LEAST_PAIR = 2
 LAMBDA = 0.3
 LEVELS = 64
 #: Word pairs that a map task gathers before it hands their counts on.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 #: Tokens of a range of n-gram hashes, about.
 RANGE_TOKENS = 2_000_000
 
@@ -56,7 +56,7 @@ def pair_grams(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """word -> 64-bit hash; at most max_words are kept."""
 
-    max_words = 1_000_000
+    max_words = 300_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.max_words:
@@ -239,8 +239,8 @@ def score_texts(spark: SparkSession, docs: DataFrame, id: str = "doc_id", text:
     learn = rows.filter(~held_out("_id", remainder))
     counted = written(spark, word_counts(learn, "_text", lower=True), "words")
     totals = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    texts = learn.count()
-    n, v = totals["n"] + texts, totals["v"] + bool(texts)
+    starts = learn.count()
+    n, v = totals["n"] + starts, totals["v"] + bool(starts)
     z = n + 0.5 * (v + 1)
 
     bits = max(4, min(16, math.ceil(math.log2(max(1, n / RANGE_TOKENS)))))
@@ -248,28 +248,27 @@ def score_texts(spark: SparkSession, docs: DataFrame, id: str = "doc_id", text:
     data, slice_bits, least = build_filter(spark, counts, bits, filter_bits)
     dropped(spark, counts)
     sent = spark.sparkContext.broadcast(data)
-    kind = rows.schema["_id"].dataType.simpleString()
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scorer():
         hashes, filt = WordHashes(), Filter(sent.value, bits, slice_bits)
-        for b in batches:
+
+        def score(texts: list[bytes]) -> list[float]:
             out, held, size = [], [], 0
-            for t in b.column(b.num_columns - 1).to_pylist():
+            for t in texts:
                 held.append(hashes.tokens(t))
                 size += len(held[-1])
-                if size > 500_000:
-                    out += model_scores(filt, held, n, v, texts, least, weight)
+                if size > 250_000:
+                    out += model_scores(filt, held, n, v, starts, least, weight)
                     held, size = [], 0
-            if held:
-                out += model_scores(filt, held, n, v, texts, least, weight)
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(out, pa.float64())], ["_id", "_text", "score"])
+            return out + (model_scores(filt, held, n, v, starts, least, weight) if held else [])
+
+        return score
 
-    scored = rows.select("_id", "_text", text_bytes("_text").alias("_t")).mapInArrow(score, f"_id {kind}, _text string, score double")
     vocabulary = counted.select("word", "n", F.lit(1).cast("long").alias("n_known"), F.log10((F.col("n") + 0.5) / z).alias("logs"))
-    sums = summed_by_document(spark, scored, ["_id", "score"], vocabulary, {"n_known": "long", "logs": "double"}, "_text", lower=True)
+    sums = summed_by_document(spark, rows, ["_id"], vocabulary, {"n_known": "long", "logs": "double"}, "_text", lower=True, extra="score", extra_of=scorer)
     unseen = math.log10(0.5 / z)
-    end = math.log10((texts + 0.5) / z)
+    end = math.log10((starts + 0.5) / z)
     return sums.select(
-        F.col("_id").alias(id), held_out("_id", remainder).alias("held_out"), (F.col("n_words") + 1).alias("n_tokens"), (F.col("n_known") + int(texts > 0)).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
+        F.col("_id").alias(id), held_out("_id", remainder).alias("held_out"), (F.col("n_words") + 1).alias("n_tokens"), (F.col("n_known") + int(starts > 0)).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
         (F.col("logs") + (F.col("n_words") - F.col("n_known")) * F.lit(unseen) + F.lit(end)).alias("base_score"), "score",
     )

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from operator import itemgetter
 
 import pyarrow as pa
@@ -74,10 +74,13 @@ def summed_by_document(
     text: str = "text",
     lower: bool = False,
     head: int = HEAD,
+    extra: str | None = None,
+    extra_of: Callable[[], Callable[[list[bytes]], list[float]]] | None = None,
 ) -> DataFrame:
     """One row for each row of docs: the columns `carry`, n_words, and for each of `values` (name: "long" or "double")
     the sum of it over all word occurrences of the text; words that the vocabulary lacks add nothing.
 
+    extra: name of a column of doubles that extra_of()(texts) gives in the same pass.
     vocabulary: (word, n, *values), written. Word frequencies are counted in the task that reads the document.
     """
     names = list(values)
@@ -86,13 +89,16 @@ def summed_by_document(
     kinds = docs.select(*carry).schema
     arrow = {"long": pa.int64(), "double": pa.float64()}
     sums = ", ".join(f"h_{n} {k}" for n, k in values.items())
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds), "n_words long", sums, "words array<binary>", "freqs array<long>"])
+    more = [extra] if extra else []
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds), "n_words long", sums, "words array<binary>", "freqs array<long>", *(f"`{x}` double" for x in more)])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = known.value
+        more_of = extra_of() if extra_of else None
         for b in batches:
             n_words, words, freqs, totals = [], [], [], [[] for _ in names]
-            for t in b.column(b.num_columns - 1).to_pylist():
+            texts = b.column(b.num_columns - 1).to_pylist()
+            for t in texts:
                 seen = Counter((t.lower() if lower else t).split())
                 n_words.append(seen.total())
                 mine = [0] * len(names)
@@ -109,8 +115,8 @@ def summed_by_document(
                 for i, x in enumerate(mine):
                     totals[i].append(x)
             yield pa.record_batch(
-                [*b.columns[:-1], pa.array(n_words, pa.int64()), *(pa.array(x, arrow[values[n]]) for x, n in zip(totals, names, strict=True)), pa.array(words, pa.list_(pa.binary())), pa.array(freqs, pa.list_(pa.int64()))],
-                [f.name for f in kinds] + ["n_words", *(f"h_{n}" for n in names), "words", "freqs"],
+                [*b.columns[:-1], pa.array(n_words, pa.int64()), *(pa.array(x, arrow[values[n]]) for x, n in zip(totals, names, strict=True)), pa.array(words, pa.list_(pa.binary())), pa.array(freqs, pa.list_(pa.int64())), *(pa.array(more_of(texts), pa.float64()) for _ in more)],
+                [f.name for f in kinds] + ["n_words", *(f"h_{n}" for n in names), "words", "freqs", *more],
             )
 
     by_row = written(spark, docs.select(*carry, text_bytes(text).alias("_t")).mapInArrow(split, schema).withColumn("_row", F.monotonically_increasing_id()), "doc-words")
@@ -119,4 +125,4 @@ def summed_by_document(
     pairs = pairs.select("_row", F.col("w.words").alias("word"), F.col("w.freqs").alias("freq"))
     added = pairs.join(rare, "word").groupBy("_row").agg(*(F.sum(F.col(n) * F.col("freq")).alias(f"t_{n}") for n in names))
     out = by_row.drop("words", "freqs").join(added, "_row", "left")
-    return out.select(*carry, "n_words", *((F.col(f"h_{n}") + F.coalesce(F.col(f"t_{n}"), F.lit(0))).alias(n) for n in names))
+    return out.select(*carry, *more, "n_words", *((F.col(f"h_{n}") + F.coalesce(F.col(f"t_{n}"), F.lit(0))).alias(n) for n in names))
