@@ -4,8 +4,9 @@ Texts become sets of hashed word n-grams. Under one order of all n-grams, two se
 threshold share an n-gram among their first few (the prefix). The order puts n-grams last that stand in many prefixes.
 
 1. Documents with equal sets are one class; classes with equal prefix and size are one group.
-2. Posting lists: for each prefix n-gram, the groups that have it, by size. Neighbours of compatible size are chained, so a
-   list of m groups gives m - 1 edges, not m * m; the chains' components are clusters, and no similar pair lies in two.
+2. Posting lists: for each prefix n-gram, the groups that have it, by size. Pairs of short lists are counted, and those that share
+   too few prefix n-grams for their sizes are dropped. In a long list neighbours of compatible size are chained, so m groups
+   give m - 1 edges, not m * m. The components of all edges are clusters, and no similar pair lies in two.
    Lists of frequent n-grams are dealt to several tasks, whose chains are joined by their size ranges.
 3. Clusters are expanded to their classes and verified with the whole sets. Pairs already connected need no check. A cluster over CHUNK
    classes is verified in chunks; then a few classes of each part found meet; then whatever isn't in the cluster's
@@ -26,10 +27,12 @@ from lattica.llm.common import dropped, text_bytes, written
 from lattica.llm.components import UnionFind, components
 
 #: N-grams in more prefixes than this come last in the order ...
-FREQUENT = 32
-#: ... at most this many (8 MB, broadcast); beyond, FREQUENT is doubled. Any order gives the same links.
-MOST_FREQUENT = 1 << 20
+FREQUENT = 16
+#: ... at most this many (32 MB, broadcast); beyond, FREQUENT is doubled. Any order gives the same links.
+MOST_FREQUENT = 1 << 22
 SALTS = 16
+#: Posting lists up to this long give counted pairs, longer ones chains.
+SHORT = 64
 CHUNK = 600
 CHUNK_BYTES = 32 << 20
 #: Classes of each part of a chunk that meet those of other chunks.
@@ -160,37 +163,115 @@ def _edges(a: list, b: list) -> pa.RecordBatch:
     return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def chains(spark: SparkSession, groups: DataFrame, percent: int) -> DataFrame:
-    """(a, b): edges that connect the groups of each posting list whose sizes are compatible step by step."""
+CANDIDATES = "a long, b long, na long, nb long, c long, gram long, least long, most long, root long"
+
+
+def _candidates(**columns) -> pa.RecordBatch:
+    names = ["a", "b", "na", "nb", "c", "gram", "least", "most", "root"]
+    n = len(next(iter(columns.values())))
+    return pa.record_batch([pa.array(columns[x], pa.int64()) if x in columns else pa.nulls(n, pa.int64()) for x in names], names)
+
+
+def _list_pairs(lists: np.ndarray, n: np.ndarray, gid: np.ndarray, percent: int) -> pa.RecordBatch:
+    """Pairs of compatible size of each list (rows by list, then size), with the number of lists that have both."""
+    at, d, a, b = np.arange(len(n)), 0, [], []
+    while len(at):
+        d += 1
+        at = at[at + d < len(n)]
+        at = at[(lists[at] == lists[at + d]) & (100 * n[at] >= percent * n[at + d])]
+        a.append(at)
+        b.append(at + d)
+    a, b = np.concatenate([*a, np.empty(0, np.int64)]), np.concatenate([*b, np.empty(0, np.int64)])
+    swap = gid[a] > gid[b]
+    a, b = np.where(swap, b, a), np.where(swap, a, b)
+    order = np.lexsort((gid[b], gid[a]))
+    a, b = a[order], b[order]
+    first = np.flatnonzero(np.concatenate([[True], (gid[a][1:] != gid[a][:-1]) | (gid[b][1:] != gid[b][:-1])])) if len(a) else np.empty(0, np.int64)
+    counts = np.diff(np.append(first, len(a)))
+    a, b = a[first], b[first]
+    keep = gid[a] != gid[b]
+    return _candidates(a=gid[a][keep], b=gid[b][keep], na=n[a][keep], nb=n[b][keep], c=counts[keep])
+
+
+def chains(spark: SparkSession, groups: DataFrame, percent: int, short: int = SHORT) -> DataFrame:
+    """(a, b): edges that connect all groups that may hold similar classes.
+
+    Two similar sets share at least `need` n-grams of their prefixes, often far more than one; pairs of lists of at most `short`
+    groups are counted against it. Longer lists are chained: neighbours by size are connected where their sizes are compatible.
+    """
     rows = groups.select("gid", "n", "rare", F.posexplode("prefix").alias("at", "gram"))
     salt = F.when(F.col("at") >= F.col("rare"), F.pmod(F.xxhash64("gid"), F.lit(SALTS)).cast("int")).otherwise(F.lit(-1))
     dealt = rows.select("gram", salt.alias("salt"), "n", "gid").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "gram", "salt").sortWithinPartitions("gram", "salt", "n", "gid")
 
-    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # gram, salt, size and root of the last row; least size of its chain
-        for b in batches:
-            if not b.num_rows:
-                continue
-            gram, salt, n, gid = (c.to_numpy() for c in b.columns)
-            if last:
-                gram, salt, n, gid = (np.concatenate([[x], y]) for x, y in zip(last[:4], (gram, salt, n, gid), strict=True))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # rows of a list that may go on and is still short
+        chain = None  # (gram, salt, n, gid) of the last row of a long list that may go on, its chain's root and least size
+
+        def take(gram, salt, n, gid, last: bool):
+            nonlocal held, chain
+            if held is not None:
+                gram, salt, n, gid = (np.concatenate([x, y]) for x, y in zip(held, (gram, salt, n, gid), strict=True))
+                held = None
+            if not len(gram):
+                return
+            start = np.concatenate([[True], (gram[1:] != gram[:-1]) | (salt[1:] != salt[:-1])])
+            which = np.cumsum(start) - 1
+            long = (np.bincount(which) > short) | (salt[start] >= 0)
+            goes_on = chain is not None and chain[0] == gram[0] and chain[1] == salt[0]
+            if goes_on:
+                long[0] = True
+            if chain is not None and not goes_on:
+                yield from close()
+            end = len(gram)
+            if not last and not long[-1]:
+                end = int(np.flatnonzero(start)[-1])
+                held = (gram[end:], salt[end:], n[end:], gid[end:])
+            is_long = long[which]
+            some = np.flatnonzero(~is_long[:end])
+            if len(some):
+                yield _list_pairs(which[some], n[some], gid[some], percent)
+            some = np.flatnonzero(is_long[:end])
+            if len(some):
+                yield from chained(gram[some], salt[some], n[some], gid[some])
+
+        def chained(gram, salt, n, gid):
+            nonlocal chain
+            if chain is not None:
+                gram, salt, n, gid = (np.concatenate([[x], y]) for x, y in zip(chain[:4], (gram, salt, n, gid), strict=True))
             same = (gram[1:] == gram[:-1]) & (salt[1:] == salt[:-1]) & (100 * n[:-1] >= percent * n[1:])
             start = np.concatenate([[True], ~same])
             at = np.flatnonzero(start)
-            which = np.cumsum(start) - 1
-            root, least = gid[at][which], n[at][which]
-            if last:
-                root[which == 0], least[which == 0] = last[3], last[4]
+            part = np.cumsum(start) - 1
+            root, least = gid[at][part], n[at][part]
+            if chain is not None:
+                root[part == 0], least[part == 0] = chain[4], chain[5]
             inner = np.flatnonzero(~start)
-            pairs = np.unique(np.stack([gid[inner], root[inner]], 1), axis=0) if len(inner) else np.empty((0, 2), np.int64)
-            ends = np.concatenate([at[1:] - 1, []]).astype(np.int64)  # chains that are over; the last may go on
+            if len(inner):
+                pairs = np.unique(np.stack([gid[inner], root[inner]], 1), axis=0)
+                yield _candidates(a=pairs[:, 0], b=pairs[:, 1])
+            ends = (at[1:] - 1).astype(np.int64)  # chains that are over; the last may go on
             ends = ends[salt[ends] >= 0]
-            yield _chain_rows(pairs, gram[ends], least[ends], n[ends], root[ends])
-            last = (gram[-1], salt[-1], n[-1], root[-1], least[-1])
-        if last and last[1] >= 0:
-            yield _chain_rows(np.empty((0, 2), np.int64), *([x] for x in (last[0], last[4], last[2], last[3])))
+            if len(ends):
+                yield _candidates(gram=gram[ends], least=least[ends], most=n[ends], root=root[ends])
+            chain = (gram[-1], salt[-1], n[-1], gid[-1], root[-1], least[-1])
+
+        def close():
+            nonlocal chain
+            if chain is not None and chain[1] >= 0:
+                yield _candidates(gram=[chain[0]], least=[chain[5]], most=[chain[2]], root=[chain[4]])
+            chain = None
 
-    found = written(spark, dealt.mapInArrow(chain, "a long, b long, gram long, least long, most long, root long"), "chains")
+        for b in batches:
+            if b.num_rows:
+                yield from take(*(c.to_numpy() for c in b.columns), False)
+        yield from take(*(np.empty(0, np.int64) for _ in range(4)), True)
+        yield from close()
+
+    found = written(spark, dealt.mapInArrow(run, CANDIDATES), "candidates")
+    top, sum_ = F.greatest("na", "nb"), F.col("na") + F.col("nb")
+    overlap = F.floor((percent * sum_ + 99 + percent) / (100 + percent))
+    need = F.greatest(F.lit(1), overlap - F.floor((percent * top + 99) / 100) + 1)
+    counted = found.filter("c IS NOT NULL").groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c")).filter(F.col("c") >= need).select("a", "b")
 
     def join(key, rows):
         t = rows.sort_by([("least", "ascending"), ("root", "ascending")])
@@ -205,13 +286,7 @@ def chains(spark: SparkSession, groups: DataFrame, percent: int) -> DataFrame:
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     joined = found.filter("gram IS NOT NULL").select("gram", "least", "most", "root").groupBy("gram").applyInArrow(join, "a long, b long")
-    return found.filter("a IS NOT NULL").select("a", "b").unionByName(joined)
-
-
-def _chain_rows(pairs, gram, least, most, root) -> pa.RecordBatch:
-    none, empty = [None] * len(gram), [None] * len(pairs)
-    columns = [[*pairs[:, 0].tolist(), *none], [*pairs[:, 1].tolist(), *none], *([*empty, *map(int, x)] for x in (gram, least, most, root))]
-    return pa.record_batch([pa.array(c, pa.int64()) for c in columns], ["a", "b", "gram", "least", "most", "root"])
+    return counted.unionByName(found.filter("c IS NULL AND a IS NOT NULL").select("a", "b")).unionByName(joined)
 
 
 def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
