@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from lattica.plans import relational
+from lattica.plans import catalogs, functions, relational
 from lattica.session import Query
 
-FLAGSHIP = "group_by"
+FLAGSHIP = "catalog_migration_plan"
 
-_FAMILIES = (relational.QUERIES,)
+_FAMILIES = (relational.QUERIES, catalogs.QUERIES, functions.QUERIES)
 
 
 def queries() -> dict[str, Query]:
