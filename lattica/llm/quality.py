@@ -8,7 +8,7 @@ floats, are broadcast, and every text is scored by a sparse dot product.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +21,9 @@ from lattica.llm.common import held_out, text_bytes
 BITS = 20
 DIMENSIONS = 1 << BITS
 #: Labelled rows that the fit takes at most.
-SAMPLE = 6_000
+SAMPLE = 5_000
 #: N-grams of a sampled text that reach the fit (evenly spaced ones of a longer text); scoring takes all.
-FIT_GRAMS = 1_000
+FIT_GRAMS = 600
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 1e-4, 1e-3
 THRESHOLD = 0.3
@@ -72,20 +72,21 @@ def dot(weights: np.ndarray, blocks: list[np.ndarray]) -> float:
     return float(weights[0] + sum(SCALE * weights[b].mean() for b in blocks if len(b)))
 
 
-def fit(samples: list[tuple[list[np.ndarray], int]], epochs: int = EPOCHS) -> np.ndarray:
-    """Weights by FTRL-proximal. Feature 0 also is the intercept. No samples: all weights are 0."""
-    z, n = np.zeros(DIMENSIONS), np.zeros(DIMENSIONS)
-    sparse = []
-    for blocks, y in samples:
-        i = np.concatenate([*blocks, [0]])
-        v = np.concatenate([*(np.full(len(b), SCALE / max(1, len(b))) for b in blocks), [1.0]])
-        at, back = np.unique(i, return_inverse=True)
-        sparse.append((at, np.bincount(back, v, len(at)), y))
+def fit(samples: Sequence[tuple[list[np.ndarray], int]], epochs: int = EPOCHS) -> np.ndarray:
+    """Weights by FTRL-proximal. Feature 0 also is the intercept. No samples: all weights are 0.
+
+    Sparse vectors are made as they are needed, so only the n-gram numbers of the sample are held.
+    """
+    z, n = np.zeros(DIMENSIONS, np.float32), np.zeros(DIMENSIONS, np.float32)
     order = np.random.default_rng(7)
     for _ in range(epochs):
-        for k in order.permutation(len(sparse)):
-            at, x, y = sparse[k]
-            zi, ni = z[at], n[at]
+        for k in order.permutation(len(samples)):
+            blocks, y = samples[k]
+            i = np.concatenate([*blocks, [0]])
+            v = np.concatenate([*(np.full(len(b), SCALE / max(1, len(b))) for b in blocks), [1.0]])
+            at, back = np.unique(i, return_inverse=True)
+            x = np.bincount(back, v, len(at))
+            zi, ni = z[at].astype(np.float64), n[at].astype(np.float64)
             w = np.where(np.abs(zi) <= L1, 0.0, -(zi - np.sign(zi) * L1) / ((BETA + np.sqrt(ni)) / ALPHA + L2))
             p = 1 / (1 + np.exp(-np.clip(w @ x, -35, 35)))
             g = (p - y) * x
@@ -95,6 +96,19 @@ def fit(samples: list[tuple[list[np.ndarray], int]], epochs: int = EPOCHS) -> np
     return w.astype(np.float32)
 
 
+class _Samples:
+    """Rows of an Arrow table (y, then a block's numbers in each column) as samples."""
+
+    def __init__(self, rows: pa.Table):
+        self.y, self.blocks = rows.column("y").to_pylist(), [rows.column(c).combine_chunks() for c in "abc"]
+
+    def __len__(self) -> int:
+        return len(self.y)
+
+    def __getitem__(self, k: int) -> tuple[list[np.ndarray], int]:
+        return [np.frombuffer(c[int(k)].as_buffer(), np.int32) for c in self.blocks], self.y[int(k)]
+
+
 def _thin(b: np.ndarray) -> np.ndarray:
     return b if len(b) <= FIT_GRAMS else b[np.linspace(0, len(b) - 1, FIT_GRAMS).astype(int)]
 
@@ -116,8 +130,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, id: str = "do
 
     kind = docs.schema[id].dataType.simpleString()
     got = at.mapInArrow(features, f"i {kind}, y int, a binary, b binary, c binary").toArrow().sort_by("i")
-    columns = [got.column(k).to_pylist() for k in range(1, 5)]
-    return fit([([np.frombuffer(x, np.int32).astype(np.int64) for x in (a, b, c)], y) for y, a, b, c in zip(*columns, strict=True)])
+    return fit(_Samples(got))
 
 
 def scored(spark: SparkSession, docs: DataFrame, weights: np.ndarray, text: str = "text", score: str = "score") -> DataFrame:
@@ -132,7 +145,7 @@ def scored(spark: SparkSession, docs: DataFrame, weights: np.ndarray, text: str
             yield pa.record_batch([*b.columns[:-1], pa.array(1 / (1 + np.exp(-np.clip(s, -35, 35))), pa.float64())], [*keep, score])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{score}` double"])
-    return docs.select("*", text_bytes(text).alias("_t")).mapInArrow(run, schema)
+    return docs.select("*", text_bytes(text).alias("__text")).mapInArrow(run, schema)
 
 
 def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality", remainder: int = 0, threshold: float = THRESHOLD) -> DataFrame:
