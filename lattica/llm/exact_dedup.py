@@ -158,5 +158,8 @@ def kept_documents(spark: SparkSession, docs: DataFrame, id: str = "doc_id", tex
     """The rows of docs that stay, all columns; of repeated rows with equal id and text, one."""
     classes = build_index(spark, docs, id, text)
     sha = F.unhex(F.sha2(normalised(text).cast("binary"), 256))
-    first = classes.select("sha", F.col("keep_id").alias("_keep"))
-    return docs.withColumn("_sha", sha).join(first, (F.col("_sha") == F.col("sha")) & F.col(id).eqNullSafe(F.col("_keep")), "left_semi").drop("_sha")
+    first = classes.select(F.col("sha").alias("__class"), F.col("keep_id").alias("__keep"))
+    own = docs.withColumn("__sha", sha)
+    own = own.join(first, (F.col("__sha") == F.col("__class")) & F.col(id).eqNullSafe(F.col("__keep")), "left_semi")
+    repeated = docs.groupBy(id).count().filter("count > 1").limit(1).count() > 0
+    return (own.dropDuplicates([id, "__sha"]) if repeated else own).select(*docs.columns)

@@ -25,7 +25,7 @@ SAMPLE, SAMPLE_WORDS = 4_000, 800
 EPOCHS, RATE, SCALE = 3, 0.5, 20.0
 STEPS = 30
 #: Relative distance from the targets at which steps end.
-NEAR = 1e-9
+NEAR = 1e-5
 
 
 class WordSlots(dict):
@@ -86,7 +86,7 @@ def train(spark: SparkSession, docs: DataFrame, labelled: DataFrame, domains: li
 
 
 def memberships(spark: SparkSession, docs: DataFrame, weights: np.ndarray, text: str = "text") -> DataFrame:
-    """docs with _tokens (words) and _p (posterior of each domain)."""
+    """docs with __tokens (words) and __p (posterior of each domain)."""
     sent, keep, n = spark.sparkContext.broadcast(weights.tobytes()), docs.columns, weights.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,16 +100,16 @@ def memberships(spark: SparkSession, docs: DataFrame, weights: np.ndarray, text:
             p = np.exp(scores - scores.max(1, keepdims=True, initial=-1e9))
             p /= p.sum(1, keepdims=True)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * n, pa.int32()), pa.array(p.reshape(-1), pa.float64()))
-            yield pa.record_batch([*b.columns[:-1], pa.array(tokens, pa.int64()), lists], [*keep, "_tokens", "_p"])
+            yield pa.record_batch([*b.columns[:-1], pa.array(tokens, pa.int64()), lists], [*keep, "__tokens", "__p"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "_tokens long", "_p array<double>"])
-    return docs.select("*", text_bytes(text).alias("_t")).mapInArrow(run, schema)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "__tokens long", "__p array<double>"])
+    return docs.select("*", text_bytes(text).alias("__text")).mapInArrow(run, schema)
 
 
 def _rate(steps: list[list[float]], low: float, high: float, start=None):
     r = F.lit(1.0) if start is None else start
     for v in steps:
-        dot = sum((F.get("_p", F.lit(d)) * F.lit(x) for d, x in enumerate(v)), F.lit(0.0))
+        dot = sum((F.get("__p", F.lit(d)) * F.lit(x) for d, x in enumerate(v)), F.lit(0.0))
         r = F.least(F.lit(float(high)), F.greatest(F.lit(float(low)), r - dot))
     return r
 
@@ -120,9 +120,9 @@ def fit_rates(soft: DataFrame, targets: list[float], low: float = 0.0, high: flo
     Domains that no document belongs to can't be met and get what the least squares give.
     """
     n = len(targets)
-    p = [F.get("_p", F.lit(d)) for d in range(n)]
-    cells = [F.sum(F.col("_tokens") * p[a] * p[b]).alias(f"m{a}_{b}") for a in range(n) for b in range(a, n)]
-    first = soft.agg(*(F.sum(F.col("_tokens") * p[d]).alias(f"t{d}") for d in range(n)), *cells).first()
+    p = [F.get("__p", F.lit(d)) for d in range(n)]
+    cells = [F.sum(F.col("__tokens") * p[a] * p[b]).alias(f"m{a}_{b}") for a in range(n) for b in range(a, n)]
+    first = soft.agg(*(F.sum(F.col("__tokens") * p[d]).alias(f"t{d}") for d in range(n)), *cells).first()
     now = np.array([first[f"t{d}"] or 0.0 for d in range(n)])
     if now.sum() == 0:
         return []
@@ -141,7 +141,7 @@ def fit_rates(soft: DataFrame, targets: list[float], low: float = 0.0, high: flo
             break
         steps.append((inverse @ off).tolist())
         r = _rate(steps, low, high)
-        got = soft.agg(*(F.sum(r * F.col("_tokens") * p[d]).alias(f"t{d}") for d in range(n))).first()
+        got = soft.agg(*(F.sum(r * F.col("__tokens") * p[d]).alias(f"t{d}") for d in range(n))).first()
         after = np.array([got[f"t{d}"] for d in range(n)])
         if np.abs(after - goal).sum() >= np.abs(off).sum() * (1 - 1e-6):  # the bounds hold it here
             break
@@ -150,20 +150,18 @@ def fit_rates(soft: DataFrame, targets: list[float], low: float = 0.0, high: flo
 
 
 def mix(spark: SparkSession, docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id: str = "doc_id", text: str = "text", domain: str = "domain", low: float = 0.0, high: float = 10.0, grow: bool = False) -> DataFrame:
-    """docs with n_tokens, p_<domain> for each domain of targets, and rate (a column of docs with such a name gives way).
+    """One row for each row of docs: id, n_tokens, p_<domain> for each domain of targets, rate. Other columns are ignored.
 
     A null or empty text has 0 tokens and the posterior of the intercept. Repeated rows count each. No labelled rows: equal
     posteriors. No tokens at all: every rate is 1. An empty table: no rows.
     """
     domains = sorted(targets)
     weights = train(spark, docs, labelled, domains, id, text, domain)
-    made = ["n_tokens", *(f"p_{d}" for d in domains), "rate"]
-    kept = docs.select(*(c for c in docs.columns if c not in [*made, "_tokens", "_p", "_t"]))
     # only what the steps need is written; texts stay where they are
-    carried = kept.select(F.col(id).alias("_id"), F.col(text).alias("_text"))
-    soft = written(spark, memberships(spark, carried, weights, "_text").select("_id", "_tokens", "_p"), "memberships")
+    carried = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text"))
+    soft = written(spark, memberships(spark, carried, weights, "_text").select("_id", "__tokens", "__p"), "memberships")
     steps = fit_rates(soft, [targets[d] for d in domains], low, high, grow)
-    return soft.select(F.col("_id").alias(id), F.col("_tokens").alias("n_tokens"), *(F.get("_p", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(domains)), _rate(steps, low, high).alias("rate"))
+    return soft.select(F.col("_id").alias(id), F.col("__tokens").alias("n_tokens"), *(F.get("__p", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(domains)), _rate(steps, low, high).alias("rate"))
 
 
 def resampled(spark: SparkSession, docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id: str = "doc_id", text: str = "text", domain: str = "domain", high: float = 3.0) -> DataFrame:
@@ -172,7 +170,7 @@ def resampled(spark: SparkSession, docs: DataFrame, labelled: DataFrame, targets
     weights = train(spark, docs, labelled, domains, id, text, domain)
     columns = docs.columns
     soft = written(spark, memberships(spark, docs, weights, text), "memberships")
-    steps = fit_rates(soft.select("_tokens", "_p"), [targets[d] for d in domains], 1.0, high, grow=True)
+    steps = fit_rates(soft.select("__tokens", "__p"), [targets[d] for d in domains], 1.0, high, grow=True)
     u = F.pmod(F.xxhash64(id, text), F.lit(1 << 20)) / float(1 << 20)
     times = F.floor(_rate(steps, 1.0, high) + u).cast("int")
-    return soft.withColumn("_times", F.explode(F.sequence(F.lit(1), times))).select(*columns)
+    return soft.withColumn("__times", F.explode(F.sequence(F.lit(1), times))).select(*columns)
