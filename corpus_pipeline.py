@@ -21,7 +21,7 @@ from lattica.llm.queries import LANGUAGES, language_labels
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores THRESHOLD or more stay."""
     weights = train(spark, docs, table(spark, sf_dir, "labels"))
-    return scored(spark, docs, weights, score="_score").filter(F.col("_score") >= THRESHOLD).drop("_score")
+    return scored(spark, docs, weights, score="__score").filter(F.col("__score") >= THRESHOLD).drop("__score")
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
