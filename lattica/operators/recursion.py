@@ -14,18 +14,18 @@ def closure(edges: DataFrame, start: DataFrame | None = None, most: int = 64) ->
     edges = edges.select("src", "dst").distinct()
     step = edges.withColumnsRenamed({"src": "_at", "dst": "_to"})
     front = edges if start is None else edges.join(start.select("src").distinct(), "src", "left_semi")
-    front = _kept(front.select("src", "dst", F.lit(1).alias("depth")))
+    front = kept(front.select("src", "dst", F.lit(1).alias("depth")))
     found = front
     for depth in range(2, most + 1):
         reached = front.join(step, front["dst"] == step["_at"]).select("src", F.col("_to").alias("dst")).distinct()
-        front = _kept(reached.join(found, ["src", "dst"], "left_anti").withColumn("depth", F.lit(depth)))
+        front = kept(reached.join(found, ["src", "dst"], "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             break
-        found = _kept(found.unionByName(front))
+        found = kept(found.unionByName(front))
     return found
 
 
-def _kept(df: DataFrame) -> DataFrame:
+def kept(df: DataFrame) -> DataFrame:
     """df with its lineage cut where the session has a checkpoint folder, persisted otherwise."""
     spark = df.sparkSession
     if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir"):
@@ -45,12 +45,12 @@ def shortest_paths(edges: DataFrame, start: DataFrame, most: int = 32) -> DataFr
 def tree_paths(edges: DataFrame, roots: DataFrame, most: int = 16) -> DataFrame:
     """(root, node, depth, path, cycle): every path downwards; a node met again on its own path is marked and not followed."""
     front = roots.select(F.col("src").alias("root"), F.col("src").alias("node"), F.lit(0).alias("depth"), F.array("src").alias("path"), F.lit(False).alias("cycle"))
-    front = _kept(front)
+    front = kept(front)
     out = front
     step = edges.select(F.col("src").alias("_at"), F.col("dst").alias("_to")).distinct()
     for depth in range(1, most + 1):
         walked = front.filter("not cycle").join(step, F.col("node") == F.col("_at"))
-        front = _kept(walked.select("root", F.col("_to").alias("node"), F.lit(depth).alias("depth"), F.concat("path", F.array("_to")).alias("path"), F.array_contains("path", F.col("_to")).alias("cycle")))
+        front = kept(walked.select("root", F.col("_to").alias("node"), F.lit(depth).alias("depth"), F.concat("path", F.array("_to")).alias("path"), F.array_contains("path", F.col("_to")).alias("cycle")))
         if front.isEmpty():
             break
         out = out.unionByName(front)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.catalog import diff, graph, model, plan, types
-from lattica.operators.recursion import closure, reverse
+from lattica.operators.recursion import closure, kept, reverse
 from lattica.session import TABLES, Query, table
 
 QUERIES: dict[str, tuple[Query, str | None]] = {}
@@ -150,11 +150,13 @@ def catalog_extended_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new, a, b = _snapshots(spark, sf_dir)
+    a, b = kept(a), kept(b)
     tree, cols = diff.tree_diff(a, b), diff.column_diff(old, new)
-    both = a.unionByName(b).dropDuplicates(["node"])
-    edges = model.edges(a).unionByName(model.edges(b)).distinct()
-    states = plan.states(tree.filter("obj_type <> 'SCHEMA'"), cols)
-    return plan.ordered(plan.recreated(states, graph.reduced(edges, both).unionByName(edges.select("src", "dst")).distinct(), both), edges)
+    both = kept(a.unionByName(b).dropDuplicates(["node"]))
+    edges = kept(model.edges(a).unionByName(model.edges(b)).distinct())
+    states = kept(plan.states(tree.filter("obj_type <> 'SCHEMA'"), cols))
+    every = kept(graph.reduced(edges, both).unionByName(edges.select("src", "dst")).distinct())
+    return plan.ordered(kept(plan.recreated(states, every, both)), edges)
 
 
 @query(None)
