@@ -235,3 +235,66 @@ def catalog_cycles_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = spark.createDataFrame([("f", "FUNCTION"), ("g", "FUNCTION"), ("h", "FUNCTION"), ("t", "TABLE")], "node string, obj_type string")
     edges = spark.createDataFrame([("f", "g"), ("g", "f"), ("f", "t"), ("h", "t")], "src string, dst string")
     return graph.cycles_broken(edges, nodes)
+
+
+@query(_W + ", d AS (" + _COLDIFF.strip() + ") SELECT tbl, name, CASE side WHEN 'LEFT' THEN 'RIGHT' WHEN 'RIGHT' THEN 'LEFT' ELSE side END AS side FROM d")
+def catalog_reverted_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old, new, _, _ = _snapshots(spark, sf_dir)
+    return diff.reverted(diff.column_diff(old, new)).select("tbl", "name", "side")
+
+
+@query("WITH " + _OLD + " SELECT DISTINCT 'main.' || tbl AS node, CASE WHEN tbl = 'orders' THEN 'sales' ELSE 'admin' END AS owner FROM old")
+def catalog_owner_override(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = model.nodes(model.columns(spark, sf_dir)).filter("obj_type = 'TABLE'").select("node", F.lit("admin").alias("owner"))
+    return diff.overridden(tables, spark.createDataFrame([("main.orders", "sales"), ("main.none", "x")], "node string, owner string"))
+
+
+@query("SELECT * FROM (VALUES ('q1', 'nation', 'n_name'), ('q1', 'nation', 'n_nationkey'), ('q2', 'orders', 'o_custkey'), ('q2', 'customer', 'c_custkey')) v(query, tbl, name)")
+def catalog_reference_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = {"q1": "SELECT n_name FROM nation WHERE n_nationkey = 3", "q2": "SELECT 1 FROM orders JOIN customer ON o_custkey = c_custkey"}
+    return types.references(spark, texts, model.columns(spark, sf_dir))
+
+
+@query("SELECT 'q1' AS query, 'pk' AS key")
+def catalog_group_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped = spark.createDataFrame([("q1", "t", ["a", "b", "c"]), ("q2", "t", ["a"])], "query string, tbl string, cols array<string>")
+    return graph.group_by_key_edges(grouped, spark.createDataFrame([("pk", "t", ["a", "b"])], "key string, tbl string, cols array<string>"))
+
+
+@query(_W + "SELECT 'main.' || tbl || '.' || name AS node, side FROM (" + _COLDIFF + ") WHERE tbl <> 'nation'")
+def catalog_flattened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old, new, a, b = _snapshots(spark, sf_dir)
+    both = kept(a.unionByName(b).dropDuplicates(["node"]))
+    show_all, rules = diff.parse_rules("SHOW ALL\nHIDE CONTENT nation")
+    statuses = diff.rule_statuses(both, spark.createDataFrame(rules, diff.RULES), show_all)
+    named = diff.column_diff(old, new).select(F.concat(F.lit("main."), "tbl", F.lit("."), "name").alias("node"))
+    tree = diff.tree_diff(a, b).join(named, "node", "left_semi")
+    return diff.flattened(tree, statuses, ["COLUMN"]).select("node", "side")
+
+
+@query("SELECT c_custkey, c_name, c_mktsegment FROM customer")
+def catalog_moved_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plan.moved_rows(table(spark, sf_dir, "customer"), ["c_custkey", "c_name", "c_mktsegment", "c_acctbal", "c_phone"], generated=["c_acctbal"])
+
+
+@query("SELECT * FROM (VALUES ('a', 'b'), ('b', 'c')) v(src, dst)")
+def catalog_custom_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = spark.createDataFrame([("a",), ("b",), ("c",)], "node string")
+    return graph.with_custom(spark.createDataFrame([("a", "b")], "src string, dst string"), nodes, spark.createDataFrame([("b", "c"), ("c", "z")], "src string, dst string"))
+
+
+@query("WITH RECURSIVE " + _OLD + ", " + _EDGES + """, k AS (SELECT node, CASE WHEN parent <> 'main' THEN parent ELSE node END AS up FROM n),
+ f AS (SELECT DISTINCT coalesce(a.up, src) AS src, coalesce(b.up, dst) AS dst FROM e LEFT JOIN k a ON src = a.node LEFT JOIN k b ON dst = b.node WHERE coalesce(a.up, src) <> coalesce(b.up, dst)),
+ t AS (SELECT dst FROM f WHERE src = 'main.top_customers' UNION SELECT f.dst FROM t JOIN f ON t.dst = f.src) SELECT dst AS node FROM t""")
+def catalog_create_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = model.nodes(model.columns(spark, sf_dir))
+    return graph.neighbourhood(model.edges(nodes), nodes, "main.top_customers")
+
+
+@query("SELECT * FROM (VALUES ('part', 'A', 'x', 'CHANGED'), ('part', 'B', 'c2', 'DELETED'), ('part', 'D', 'c4', 'INSERTED')) v(tbl, k, v, change)")
+def change_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = spark.createDataFrame([("A", "c1"), ("B", "c2"), ("C", "c3")], "k string, v string")
+    new = spark.createDataFrame([("A", "x"), ("C", "c3"), ("D", "c4")], "k string, v2 string")
+    both = old.join(new, "k", "full_outer").filter(~F.col("v").eqNullSafe(F.col("v2")))
+    change = F.when(F.col("v").isNull(), "INSERTED").when(F.col("v2").isNull(), "DELETED").otherwise("CHANGED")
+    return both.select(F.lit("part").alias("tbl"), "k", F.coalesce("v2", "v").alias("v"), change.alias("change"))

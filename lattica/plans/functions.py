@@ -209,3 +209,58 @@ def stream_materialized_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT count(DISTINCT event_id) AS n FROM events")
 def stream_deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.deduplicated(spark, f"{sf_dir}/events.parquet", files.shared(spark)).agg(F.count("*").alias("n"))
+
+
+# --- more forms ---------------------------------------------------------------------------------------------------
+
+two("for_json_output", "SELECT c_nationkey, to_json(array_sort(collect_list(named_struct('k', c_custkey)))) AS j FROM customer GROUP BY c_nationkey", "SELECT c_nationkey, CAST(to_json(list({'k': c_custkey} ORDER BY c_custkey)) AS VARCHAR) AS j FROM customer GROUP BY c_nationkey")
+both("extract_fields", "SELECT o_orderkey, CAST(extract(YEAR FROM o_orderdate) AS INTEGER) AS y, CAST(extract(MONTH FROM o_orderdate) AS INTEGER) AS m FROM orders")
+two("interval_literals", "SELECT CAST(CAST(DATE '1999-12-31' + INTERVAL '2' MONTH AS DATE) AS STRING) AS a, CAST(DATE '2000-03-01' - INTERVAL '1' DAY AS STRING) AS b", "SELECT CAST(CAST(DATE '1999-12-31' + INTERVAL 2 MONTH AS DATE) AS VARCHAR) AS a, CAST(CAST(DATE '2000-03-01' - INTERVAL 1 DAY AS DATE) AS VARCHAR) AS b")
+two("array_constructors", "SELECT r_regionkey, concat(array(1, 2), array(r_regionkey)) AS a, array_repeat(r_regionkey, 2) AS b, array_append(array(1), r_regionkey) AS c FROM region", "SELECT r_regionkey, list_concat([1, 2], [r_regionkey]) AS a, [r_regionkey, r_regionkey] AS b, list_append([1], r_regionkey) AS c FROM region")
+two("array_subquery", "SELECT r_regionkey, (SELECT array_join(array_sort(collect_list(n_name)), ',') FROM nation WHERE n_regionkey = r_regionkey) AS names FROM region", "SELECT r_regionkey, (SELECT string_agg(n_name, ',' ORDER BY n_name) FROM nation WHERE n_regionkey = r_regionkey) AS names FROM region")
+two("identity_values", "SELECT n_name, CAST(row_number() OVER (ORDER BY n_name) AS BIGINT) AS id FROM nation", "SELECT n_name, row_number() OVER (ORDER BY n_name) AS id FROM nation")
+two("sum_of_states", "SELECT round(sum(s), 2) AS total, CAST(sum(c) AS BIGINT) AS n, max(m) AS hi FROM (SELECT o_custkey % 10 AS b, sum(o_totalprice) AS s, count(*) AS c, max(o_totalprice) AS m FROM orders GROUP BY 1)", "SELECT round(sum(o_totalprice), 2) AS total, count(*) AS n, max(o_totalprice) AS hi FROM orders")
+both("aggregate_or_null", "SELECT n_nationkey, CASE WHEN count(s_suppkey) > 0 THEN sum(s_acctbal) END AS s FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 9000 GROUP BY n_nationkey")
+both("aggregate_checksum", "SELECT o_orderpriority, bit_xor(o_orderkey * 31 + o_custkey) AS c FROM orders GROUP BY o_orderpriority")
+two("aggregate_mode", "SELECT c_nationkey, min(c_mktsegment) AS m FROM (SELECT c_nationkey, c_mktsegment, rank() OVER (PARTITION BY c_nationkey ORDER BY count(*) DESC) AS r FROM customer GROUP BY 1, 2) WHERE r = 1 GROUP BY c_nationkey", "SELECT c_nationkey, min(c_mktsegment) AS m FROM (SELECT c_nationkey, c_mktsegment, rank() OVER (PARTITION BY c_nationkey ORDER BY count(*) DESC) AS r FROM customer GROUP BY 1, 2) WHERE r = 1 GROUP BY c_nationkey")
+both("group_by_expression_alias", "SELECT p_size % 5 AS b, count(*) AS n FROM part GROUP BY p_size % 5")
+both("window_lead_in_frame", "SELECT event_id, max(event_id) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 1 FOLLOWING) AS nxt FROM events")
+both("window_named_inherited", "SELECT o_orderkey, count(*) OVER w AS n, CAST(sum(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS BIGINT) AS s FROM orders WINDOW w AS (PARTITION BY o_custkey)")
+two("view_of_query", "SELECT * FROM (SELECT n_name AS name, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey) v WHERE region LIKE 'A%'", "WITH v AS (SELECT n_name AS name, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey) SELECT * FROM v WHERE region LIKE 'A%'")
+both("order_using_operator", "SELECT s_suppkey, s_acctbal FROM supplier ORDER BY s_acctbal DESC, s_suppkey LIMIT 7")
+two("hierarchy_lookup", "SELECT n_nationkey, array_join(array(n_name, r_name, 'world'), '/') AS path FROM nation JOIN region ON n_regionkey = r_regionkey", "SELECT n_nationkey, n_name || '/' || r_name || '/world' AS path FROM nation JOIN region ON n_regionkey = r_regionkey")
+two("geo_distance", "SELECT s_suppkey, round(2 * 6371 * asin(sqrt(power(sin(radians(s_nationkey - 10) / 2), 2) + cos(radians(10)) * cos(radians(s_nationkey)) * power(sin(radians(s_suppkey % 90) / 2), 2))), 4) AS km FROM supplier", "SELECT s_suppkey, round(2 * 6371 * asin(sqrt(power(sin(radians(s_nationkey - 10) / 2), 2) + cos(radians(10)) * cos(radians(s_nationkey)) * power(sin(radians(s_suppkey % 90) / 2), 2))), 4) AS km FROM supplier")
+two("conditional_functions", "SELECT p_partkey, if(p_size > 25, 'big', 'small') AS a, nvl2(nullif(p_size, 1), 1, 0) AS b, CASE WHEN p_size < 10 THEN 1 WHEN p_size < 30 THEN 2 ELSE 3 END AS c, coalesce(element_at(map(1, 'one', 2, 'two'), p_size), 'many') AS t FROM part", "SELECT p_partkey, if(p_size > 25, 'big', 'small') AS a, if(nullif(p_size, 1) IS NOT NULL, 1, 0) AS b, CASE WHEN p_size < 10 THEN 1 WHEN p_size < 30 THEN 2 ELSE 3 END AS c, CASE p_size WHEN 1 THEN 'one' WHEN 2 THEN 'two' ELSE 'many' END AS t FROM part")
+two("split_and_tokens", "SELECT doc_id, size(split(text, ' ')) AS n, element_at(split(text, ' '), 1) AS first FROM documents", "SELECT doc_id, CAST(len(string_split(text, ' ')) AS INTEGER) AS n, string_split(text, ' ')[1] AS first FROM documents")
+both("text_lengths", "SELECT lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS c, max(n_chars) AS m FROM documents GROUP BY lang")
+
+
+@query("SELECT count(DISTINCT o_custkey) AS exact_, true AS close FROM orders")
+def aggregate_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    sketch = o.agg(F.hll_sketch_estimate(F.hll_sketch_agg("o_custkey")).alias("h"), F.approx_count_distinct("o_custkey").alias("a"), F.count_distinct("o_custkey").alias("exact_"))
+    return sketch.select("exact_", ((F.abs(F.col("h") - F.col("exact_")) < 0.1 * F.col("exact_")) & (F.abs(F.col("a") - F.col("exact_")) < 0.2 * F.col("exact_"))).alias("close"))
+
+
+@query("SELECT true AS pushed")
+def explain_pushdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EXPLAIN: the filter and the two columns reach the scan."""
+    plan = table(spark, sf_dir, "orders").filter("o_orderkey > 100").select("o_custkey")._jdf.queryExecution().executedPlan().toString()
+    return spark.createDataFrame([("PushedFilters: [IsNotNull(o_orderkey), GreaterThan(o_orderkey,100)]" in plan and "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint>" in plan,)], "pushed boolean")
+
+
+@query("SELECT o_orderstatus AS s, count(*) AS n FROM orders GROUP BY 1")
+def stream_live_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A live view: complete mode into a memory table, read when the stream has caught up."""
+    stream = spark.readStream.schema(table(spark, sf_dir, "orders").schema).option("pathGlobFilter", "orders.parquet").parquet(sf_dir)
+    name = "live_order_counts"
+    q = stream.groupBy(F.col("o_orderstatus").alias("s")).agg(F.count("*").alias("n")).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name)
+
+
+@query("SELECT count(*) AS n FROM events WHERE ts >= (SELECT max(ts) - INTERVAL 5 DAY FROM events)")
+def time_to_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    last = e.agg(F.max("ts").alias("_m"))
+    return e.join(F.broadcast(last)).filter(F.col("ts") >= F.col("_m") - F.expr("INTERVAL 5 DAY")).agg(F.count("*").alias("n"))
