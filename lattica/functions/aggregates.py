@@ -17,9 +17,9 @@ def mann_whitney(df: DataFrame, group: str, value: str, first, second) -> DataFr
 
     both = df.filter(F.col(group).isin(first, second))
     counts = both.groupBy(value).agg(F.count_if(F.col(group) == first).alias("a"), F.count_if(F.col(group) == second).alias("b"))
-    from lattica.operators.joins import numbered
+    from lattica.operators.joins import ranged
 
-    ranked = numbered(counts, [value], "_i").withColumn("_p", F.spark_partition_id())
+    ranked = ranged(counts, [value])
     below = Window.partitionBy("_p").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     parts = ranked.groupBy("_p").agg(F.sum(F.col("a") + F.col("b")).alias("_n"), F.min(value).alias("_v"))
     offs = parts.select("_p", F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))

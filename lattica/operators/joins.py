@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.operators.recursion import kept
+
 
 def any_join(left: DataFrame, right: DataFrame, on: Sequence[str], order: Sequence[Column], how: str = "left") -> DataFrame:
     """At most one match for each left row: the right side is cut to its first row of each key by `order` before the join.
@@ -45,14 +47,19 @@ def paste_join(left: DataFrame, right: DataFrame, left_order: Sequence[str], rig
     return a.join(b, "_n").drop("_n")
 
 
+def ranged(df: DataFrame, order: Sequence[str], name: str = "_p") -> DataFrame:
+    """df dealt by range of the given columns, with the number of each row's range; kept, since a second sampling could deal otherwise."""
+    return kept(df.repartitionByRange(*order).withColumn(name, F.spark_partition_id()))
+
+
 def numbered(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
-    """df with its row number from 1 in the given total order; only one count for each partition meets in one task."""
-    ranged = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
-    counts = ranged.groupBy("_p").count()
+    """df with its row number from 1 in the given total order; only one count for each range meets in one task."""
+    rows = ranged(df, order)
+    counts = rows.groupBy("_p").count()
     before = Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_p", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
     inside = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
-    return ranged.withColumn("_i", inside).join(F.broadcast(offsets), "_p").withColumn(name, F.col("_i") + F.col("_before")).drop("_p", "_i", "_before")
+    return rows.withColumn("_i", inside).join(F.broadcast(offsets), "_p").withColumn(name, F.col("_i") + F.col("_before")).drop("_p", "_i", "_before")
 
 
 def range_join(left: DataFrame, right: DataFrame, value: str, low: str, high: str, width: float) -> DataFrame:

@@ -17,6 +17,9 @@ def test_asof_takes_the_last_before_and_keeps_rows_without_a_match(spark):
 def test_numbered_over_many_partitions(spark):
     df = spark.range(1000).selectExpr("(id * 7919) % 1000 AS v")
     assert [(r.v, r.n) for r in joins.numbered(df, ["v"], "n").orderBy("n").collect()] == [(i, i + 1) for i in range(1000)]
+    many = spark.range(0, 300_000, 1, 16).selectExpr("(id * 7919) % 300007 AS v")
+    got = joins.numbered(many, ["v"], "n").agg(F.min("n"), F.max("n"), F.count_distinct("n"), F.max(F.abs(F.col("n") - 1 - F.col("v")))).first()
+    assert tuple(got)[:3] == (1, 300_000, 300_000) and got[3] <= 7
     assert joins.numbered(df.limit(0), ["v"], "n").count() == 0
 
 
@@ -70,3 +73,16 @@ def test_similar_to(spark):
     df = spark.createDataFrame([("abc",), ("xbz",), ("a.c",)], "s string")
     assert sorted(r.s for r in df.filter(predicates.similar_to(F.col("s"), "(a|x)b_")).collect()) == ["abc", "xbz"]
     assert [r.s for r in df.filter(predicates.similar_to(F.col("s"), "a.c")).collect()] == ["a.c"]
+
+
+def test_mann_whitney_over_many_ranges(spark):
+    from lattica.functions import aggregates
+
+    df = spark.range(0, 20_000, 1, 8).selectExpr("CASE WHEN id % 3 = 0 THEN 'a' ELSE 'b' END AS g", "(id * 7919) % 5003 AS v")
+    rows_ = df.collect()
+    a, b = sorted(r.v for r in rows_ if r.g == "a"), sorted(r.v for r in rows_ if r.g == "b")
+    from bisect import bisect_left, bisect_right
+
+    u = sum(bisect_left(b, x) + (bisect_right(b, x) - bisect_left(b, x)) / 2 for x in a)
+    got = aggregates.mann_whitney(df, "g", "v", "a", "b").first()
+    assert (got.u1, got.u2) == (u, len(a) * len(b) - u)
