@@ -12,6 +12,7 @@ from __future__ import annotations
 import random
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -326,6 +327,12 @@ def train(n: int = TRAIN_TEXTS, epochs: int = TRAIN_EPOCHS, seed: int = SEED, si
     return p
 
 
+@cache
+def default_model() -> dict:
+    """The model of the default parameters, trained once in a driver."""
+    return train()
+
+
 # --- windows over whole texts --------------------------------------------------------------------------------------
 
 
@@ -418,7 +425,7 @@ def find_pii(spark: SparkSession, docs: DataFrame, id: str = "doc_id", text: str
     Null and empty texts: no spans, the hash of "". Repeated rows: a row each. An empty table: no rows. Positions are
     code points, ends exclusive. The model (about 50 KB) is trained on the driver and goes out with the tasks.
     """
-    p = model or train()
+    p = model or default_model()
     kind = docs.schema[id].dataType.simpleString()
     schema = f"_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
 

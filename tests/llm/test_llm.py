@@ -283,7 +283,7 @@ def test_pii_gradient():
 
 
 def test_pii_operator(spark, texts, empty):
-    model = pii.train()
+    model = pii.default_model()
     held_out = pii.labelled(150, 987)
     found = pii.decode(model, [t for t, _ in held_out])
     right = sum(len(set(a) & set(s)) for a, (_, s) in zip(found, held_out, strict=True))
