@@ -29,7 +29,7 @@ BITS_PER_ITEM = 8
 PROBES = 3
 #: Pairs seen once are not held.
 LEAST_PAIR = 2
-LAMBDA = 0.3
+LAMBDA = 0.2
 LEVELS = 64
 #: Word pairs that a map task gathers before it hands their counts on.
 FLUSH = 1_000_000
@@ -147,12 +147,15 @@ def gram_counts(spark: SparkSession, docs: DataFrame, vocabulary: DataFrame, tex
     return written(spark, both.groupBy("part", "kind").applyInArrow(merge, f"{GRAMS}, levels long, per_count array<long>"), "gram-counts")
 
 
-def _positions(grams: np.ndarray, at: np.ndarray | int, bits: int, slice_bits: int, probe: int) -> np.ndarray:
-    """Bit of the filter for (n-gram, level): the slice is the n-gram's range, the place in it is hashed."""
-    part = grams >> np.uint64(64 - bits) if bits else np.zeros(len(grams), np.uint64)
-    x = (grams + np.asarray(at, np.uint64) * _A[1]) * _A[probe]
-    x = (x ^ (x >> np.uint64(32))) * _A[(probe + 1) % 4]
-    return part * np.uint64(1 << slice_bits) + (x >> np.uint64(64 - slice_bits))
+def _bases(grams: np.ndarray, at: np.ndarray | int) -> np.ndarray:
+    """Hash of (n-gram, level), from which its probes come."""
+    x = grams + np.asarray(at, np.uint64) * _A[1]
+    return (x ^ (x >> np.uint64(32))) * _A[0]
+
+
+def _place(bases: np.ndarray, slice_bits: int, probe: int) -> np.ndarray:
+    """Bit of the n-gram's slice for a probe."""
+    return (bases * _A[probe + 1]) >> np.uint64(64 - slice_bits)
 
 
 class Filter:
@@ -164,12 +167,13 @@ class Filter:
     def levels(self, grams: np.ndarray) -> np.ndarray:
         """Highest level held of each n-gram: probes level after level."""
         out, at, g = np.zeros(len(grams), np.int64), np.arange(len(grams)), grams
+        start = (grams >> np.uint64(64 - self.bits) if self.bits else np.zeros(len(grams), np.uint64)) << np.uint64(self.slice_bits)
         for lev in range(1, LEVELS + 1):
+            bases = _bases(g, lev)
             for k in range(PROBES):
-                p = _positions(g, lev, self.bits, self.slice_bits, k)
-                hit = (self.data[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1
-                keep = hit.astype(bool)
-                at, g = at[keep], g[keep]
+                p = start + _place(bases, self.slice_bits, k)
+                keep = ((self.data[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+                at, g, start, bases = at[keep], g[keep], start[keep], bases[keep]
                 if not len(at):
                     return out
             out[at] = lev
@@ -194,8 +198,9 @@ def build_filter(spark: SparkSession, counts: DataFrame, bits: int, most: int =
                 on = np.zeros(1 << slice_bits, bool)
                 while len(g := g[lev > 0]):
                     lev = lev[lev > 0]
+                    bases = _bases(g, lev)
                     for k in range(PROBES):
-                        on[(_positions(g, lev.astype(np.uint64), bits, slice_bits, k) & np.uint64((1 << slice_bits) - 1)).astype(np.int64)] = True
+                        on[_place(bases, slice_bits, k).astype(np.int64)] = True
                     lev = lev - 1
                 yield pa.record_batch([pa.array([part], pa.int32()), pa.array([np.packbits(on, bitorder="little").tobytes()], pa.binary())], ["part", "bits"])
 
@@ -207,25 +212,59 @@ def build_filter(spark: SparkSession, counts: DataFrame, bits: int, most: int =
     return data.tobytes(), slice_bits, least
 
 
-def model_scores(filt: Filter, texts: list[np.ndarray], n: int, v: int, starts: int, least: int, weight: float) -> list[float]:
-    """log10 probability of each text (its tokens, end included)."""
-    z = n + 0.5 * (v + 1)
-    t = np.concatenate(texts)
-    unique, back = np.unique(t, return_inverse=True)
-    c1 = count_of(filt.levels(word_grams(unique)), 1)
-    c1[unique == _START], c1[unique == _END] = starts, starts
-    single = c1[back]
-    a, b = t[:-1], t[1:]
-    pair = np.zeros(len(t))
-    inside = np.flatnonzero(b != _START)
-    pair[inside + 1] = count_of(filt.levels(pair_grams(a[inside], b[inside])), least)
-    before = np.concatenate([[1.0], single[:-1]])
-    share = np.where(before > 0, np.minimum(pair / np.maximum(before, 1e-9), 1.0), 0.0)
-    lam = np.where(before > 0, weight, 0.0)
-    logs = np.log10(lam * share + (1 - lam) * (single + 0.5) / z)
-    logs[t == _START] = 0
-    ends = np.cumsum([len(x) for x in texts])
-    return np.add.reduceat(logs, np.concatenate([[0], ends[:-1]])).tolist()
+class ScoredWords(dict):
+    """word -> its number; hashes and counts by number. Each word's count is probed once while it is kept.
+
+    Numbers 0 and 1 are start and end. More than max_words are forgotten between calls of scores().
+    """
+
+    max_words = 400_000
+
+    def __init__(self, filt: Filter, n: int, v: int, starts: int, least: int, weight: float):
+        super().__init__()
+        self.filt, self.z, self.starts, self.least, self.weight = filt, n + 0.5 * (v + 1), starts, least, weight
+        self._forget()
+
+    def _forget(self) -> None:
+        self.clear()
+        self.hashes, self.counts, self.new, self.size = np.array([_START, _END], np.uint64), np.full(2, float(self.starts)), [], 2
+
+    def __missing__(self, word: bytes) -> int:
+        self.new.append(xxh64_intdigest(word))
+        self[word] = i = self.size
+        self.size += 1
+        return i
+
+    def numbers(self, text: bytes) -> np.ndarray:
+        """Start, the words, end."""
+        words = text.lower().split()
+        out = np.empty(len(words) + 2, np.int64)
+        out[0], out[-1] = 0, 1
+        out[1:-1] = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return out
+
+    def scores(self, texts: list[np.ndarray]) -> list[float]:
+        """log10 probability of each text (numbers of its words), end included."""
+        if self.new:
+            h = np.array(self.new, np.uint64)
+            self.hashes = np.concatenate([self.hashes, h])
+            self.counts = np.concatenate([self.counts, count_of(self.filt.levels(word_grams(h)), 1)])
+            self.new = []
+        t = np.concatenate(texts)
+        h, single = self.hashes[t], self.counts[t]
+        inside = np.flatnonzero(t[1:] != 0)
+        pair = np.zeros(len(t))
+        pairs, back = np.unique(pair_grams(h[inside], h[inside + 1]), return_inverse=True)  # frequent pairs have the most levels
+        pair[inside + 1] = count_of(self.filt.levels(pairs), self.least)[back]
+        before = np.concatenate([[1.0], single[:-1]])
+        share = np.where(before > 0, np.minimum(pair / np.maximum(before, 1e-9), 1.0), 0.0)
+        lam = np.where(before > 0, self.weight, 0.0)
+        logs = np.log10(lam * share + (1 - lam) * (single + 0.5) / self.z)
+        logs[t == 0] = 0
+        ends = np.cumsum([len(x) for x in texts])
+        if self.size > self.max_words:
+            self._forget()
+        return np.add.reduceat(logs, np.concatenate([[0], ends[:-1]])).tolist()
 
 
 def score_texts(spark: SparkSession, docs: DataFrame, id: str = "doc_id", text: str = "text", remainder: int = 1, weight: float = LAMBDA, filter_bits: int = FILTER_BITS) -> DataFrame:
@@ -250,17 +289,17 @@ def score_texts(spark: SparkSession, docs: DataFrame, id: str = "doc_id", text:
     sent = spark.sparkContext.broadcast(data)
 
     def scorer():
-        hashes, filt = WordHashes(), Filter(sent.value, bits, slice_bits)
+        model = ScoredWords(Filter(sent.value, bits, slice_bits), n, v, starts, least, weight)
 
         def score(texts: list[bytes]) -> list[float]:
             out, held, size = [], [], 0
             for t in texts:
-                held.append(hashes.tokens(t))
+                held.append(model.numbers(t))
                 size += len(held[-1])
-                if size > 250_000:
-                    out += model_scores(filt, held, n, v, starts, least, weight)
+                if size > 500_000:
+                    out += model.scores(held)
                     held, size = [], 0
-            return out + (model_scores(filt, held, n, v, starts, least, weight) if held else [])
+            return out + (model.scores(held) if held else [])
 
         return score
 
