@@ -25,7 +25,9 @@ SAMPLE, SAMPLE_WORDS = 4_000, 800
 EPOCHS, RATE, SCALE = 3, 0.5, 20.0
 STEPS = 30
 #: Relative distance from the targets at which steps end.
-NEAR = 1e-5
+NEAR = 2e-5
+#: Where totals may grow, the factor beyond the least that no domain must shrink for: soft members of other domains add a little.
+GROWN = 1.03
 
 
 class WordSlots(dict):
@@ -106,12 +108,12 @@ def memberships(spark: SparkSession, docs: DataFrame, weights: np.ndarray, text:
     return docs.select("*", text_bytes(text).alias("__text")).mapInArrow(run, schema)
 
 
-def _rate(steps: list[list[float]], low: float, high: float, start=None):
-    r = F.lit(1.0) if start is None else start
-    for v in steps:
-        dot = sum((F.get("__p", F.lit(d)) * F.lit(x) for d, x in enumerate(v)), F.lit(0.0))
-        r = F.least(F.lit(float(high)), F.greatest(F.lit(float(low)), r - dot))
-    return r
+def _rate(steps: list[list[float]], low: float, high: float):
+    """A document's rate after the steps: one fold over them, however many there are."""
+    if not steps:
+        return F.lit(1.0)
+    dot = lambda v: sum((F.get("__p", F.lit(d)) * F.get(v, F.lit(d)) for d in range(len(steps[0]))), F.lit(0.0))
+    return F.aggregate(F.lit(steps), F.lit(1.0), lambda r, v: F.least(F.lit(float(high)), F.greatest(F.lit(float(low)), r - dot(v))))
 
 
 def fit_rates(soft: DataFrame, targets: list[float], low: float = 0.0, high: float = 10.0, grow: bool = False) -> list[list[float]]:
@@ -131,7 +133,7 @@ def fit_rates(soft: DataFrame, targets: list[float], low: float = 0.0, high: flo
         for b in range(a, n):
             m[a, b] = m[b, a] = first[f"m{a}_{b}"]
     share = np.array(targets) / sum(targets)
-    total = max(now[d] / share[d] for d in range(n) if share[d] > 0 and now[d] > 1e-6 * now.sum()) if grow else now.sum()
+    total = GROWN * max(now[d] / share[d] for d in range(n) if share[d] > 0 and now[d] > 1e-6 * now.sum()) if grow else now.sum()
     goal = share * total
     inverse = np.linalg.pinv(m + np.eye(n) * 1e-9 * np.trace(m))
     steps: list[list[float]] = []
@@ -140,10 +142,10 @@ def fit_rates(soft: DataFrame, targets: list[float], low: float = 0.0, high: flo
         if np.abs(off).max() <= NEAR * goal.sum():
             break
         steps.append((inverse @ off).tolist())
-        r = _rate(steps, low, high)
-        got = soft.agg(*(F.sum(r * F.col("__tokens") * p[d]).alias(f"t{d}") for d in range(n))).first()
+        weighed = soft.withColumn("__r", _rate(steps, low, high) * F.col("__tokens"))
+        got = weighed.agg(*(F.sum(F.col("__r") * p[d]).alias(f"t{d}") for d in range(n))).first()
         after = np.array([got[f"t{d}"] for d in range(n)])
-        if np.abs(after - goal).sum() >= np.abs(off).sum() * (1 - 1e-6):  # the bounds hold it here
+        if np.abs(after - goal).sum() >= np.abs(off).sum() * 0.95:  # the bounds hold it here
             break
         now = after
     return steps
