@@ -58,7 +58,3 @@ def text_bytes(col: str = "text"):
 def held_out(col: str, remainder: int):
     """crc32(doc_id as text) mod 5 is the remainder; a null id counts as the text ''."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % 5 == remainder
-
-
-def shuffle_parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))

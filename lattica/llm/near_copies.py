@@ -37,8 +37,8 @@ CHUNK = 600
 CHUNK_BYTES = 32 << 20
 #: Classes of each part of a chunk that meet those of other chunks.
 PILOTS = 8
-#: Bits of the map of ids that need verification.
-ID_BITS = 23
+#: Bits of the map of ids that need verification: 16 for each id, as a power of two between these (16 MB at most).
+LEAST_ID_BITS, MOST_ID_BITS = 16, 27
 #: Prefix n-grams that a map task gathers before it hands their counts on.
 FLUSH = 2_000_000
 
@@ -370,11 +370,12 @@ def _links(spark: SparkSession, rows: DataFrame, keys: list[str], percent: int)
 def whole_sets(spark: SparkSession, docs: DataFrame, need: DataFrame, words: int, percent: int, sent) -> DataFrame:
     """(cid, s1, s2, prefix binary, grams binary) of the documents in need (cid, s1, s2).
 
-    A map of hashed ids, 2**ID_BITS bits however many there are, keeps most other texts from being cut into n-grams.
+    A map of hashed ids keeps most other texts from being cut into n-grams; ids that share a bit are told apart by the join that follows.
     """
-    slot = F.pmod(F.xxhash64("cid"), F.lit(1 << ID_BITS))
+    id_bits = max(LEAST_ID_BITS, min(MOST_ID_BITS, (16 * need.count()).bit_length()))
+    slot = F.pmod(F.xxhash64("cid"), F.lit(1 << id_bits))
     bits = need.select(slot.alias("s")).groupBy(F.floor(F.col("s") / 64).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s % 64 AS int)))").alias("b")).toArrow()
-    words64 = np.zeros(1 << (ID_BITS - 6), np.int64)
+    words64 = np.zeros(1 << (id_bits - 6), np.int64)
     words64[bits.column(0).to_numpy()] = bits.column(1).to_numpy()
     wanted = spark.sparkContext.broadcast(words64.tobytes())
 
@@ -391,7 +392,7 @@ def whole_sets(spark: SparkSession, docs: DataFrame, need: DataFrame, words: int
             c = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.record_batch([*(pa.array(x, pa.int64()) for x in c[:3]), *(pa.array(x, pa.binary()) for x in c[3:])], ["cid", "s1", "s2", "prefix", "grams"])
 
-    got = docs.filter("_id IS NOT NULL").select("_id", text_bytes("_text").alias("t"), F.pmod(F.xxhash64("_id"), F.lit(1 << ID_BITS)).alias("slot"))
+    got = docs.filter("_id IS NOT NULL").select("_id", text_bytes("_text").alias("t"), F.pmod(F.xxhash64("_id"), F.lit(1 << id_bits)).alias("slot"))
     return got.mapInArrow(run, "cid long, s1 long, s2 long, prefix binary, grams binary")
 
 
