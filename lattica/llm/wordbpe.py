@@ -37,7 +37,7 @@ class WordIds(dict):
     words that still occur come back.
     """
 
-    def __init__(self, path: str | None = None, max_words: int = 1_500_000):
+    def __init__(self, path: str | None = None, max_words: int = 900_000):
         super().__init__()
         self.tokenizer, self.young, self.old = load(path), max_words // 2, {}
 
