@@ -2,9 +2,10 @@
 
 Counts of words and word pairs are taken over all training texts. A count c is quantised to a level, and the filter holds the items
 (n-gram, 1) ... (n-gram, level): probing level after level until one is missing gives the count back to a factor of
-sqrt(2). The filter has slices, one for each range of n-gram hashes; each is built where the range's counts are, and only
-the slices (FILTER_BITS at most) go to the driver and out as a broadcast. When the items need more bits than that, the
-least count of a word pair that is held rises; it is found from counts of counts over the whole corpus.
+sqrt(2). The filter has slices, one for each range of n-gram hashes; each is built where the range's counts are. N-grams of every
+count are held, at BITS_PER_ITEM bits an item or more. Where all items surely fit in FILTER_BITS, the slices go to the driver and
+out as a broadcast. Beyond that no one holds the whole filter: texts are read in chunks, each chunk sends its distinct n-grams
+to their ranges, where a slice as large as the range's items need is built and probed, and gets their levels back.
 
 P(w | v) = L c(v w) / c(v) + (1 - L) (c(w) + 0.5) / (N + 0.5 (V + 1)), counts as the filter gives them.
 """
@@ -27,14 +28,18 @@ from lattica.llm.wordstats import summed_by_document, word_counts
 FILTER_BITS = 1 << 28
 BITS_PER_ITEM = 8
 PROBES = 3
-#: Pairs seen once are not held.
-LEAST_PAIR = 2
+#: Pairs of every count are held.
+LEAST_PAIR = 1
 LAMBDA = 0.2
 LEVELS = 64
 #: Word pairs that a map task gathers before it hands their counts on.
 FLUSH = 1_000_000
 #: Tokens of a range of n-gram hashes, about.
 RANGE_TOKENS = 2_000_000
+#: Tokens of a chunk of texts, about.
+CHUNK = 500_000
+#: The most levels for each occurrence: level(2, 1) = 3, less beyond.
+MOST_LEVELS = 1.5
 
 _A = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 _START, _END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
@@ -105,7 +110,7 @@ def count_of(levels: np.ndarray, least: int) -> np.ndarray:
 
 
 def gram_counts(spark: SparkSession, docs: DataFrame, vocabulary: DataFrame, text: str, bits: int) -> DataFrame:
-    """(part, kind, grams, counts, per_count): exact counts by range of hashes, sorted; kind 1: words, 2: pairs seen LEAST_PAIR times or more."""
+    """(part, kind, grams, counts, levels): exact counts by range of hashes, sorted, and the items they make; kind 1: words, 2: pairs."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held, n = WordHashes(), [], 0
@@ -138,13 +143,10 @@ def gram_counts(spark: SparkSession, docs: DataFrame, vocabulary: DataFrame, tex
         g, c = g[order], c[order]
         first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
         g, c = g[first], np.minimum(np.add.reduceat(c, first), 2**32 - 1)
-        if kind == 2:
-            g, c = g[c >= LEAST_PAIR], c[c >= LEAST_PAIR]
-        per = np.bincount(np.minimum(c, 255), minlength=256).tolist()
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "kind": pa.array([kind], pa.int32()), "grams": pa.array([g.tobytes()], pa.binary()), "counts": pa.array([c.astype("<u4").tobytes()], pa.binary()), "levels": pa.array([int(level(c, 1).sum())], pa.int64()), "per_count": pa.array([per], pa.list_(pa.int64()))})
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "kind": pa.array([kind], pa.int32()), "grams": pa.array([g.tobytes()], pa.binary()), "counts": pa.array([c.astype("<u4").tobytes()], pa.binary()), "levels": pa.array([int(level(c, 1).sum())], pa.int64())})
 
     both = docs.select(text_bytes(text).alias("t")).mapInArrow(pairs, GRAMS).unionByName(vocabulary.select("word", "n").mapInArrow(words, GRAMS))
-    return written(spark, both.groupBy("part", "kind").applyInArrow(merge, f"{GRAMS}, levels long, per_count array<long>"), "gram-counts")
+    return written(spark, both.groupBy("part", "kind").applyInArrow(merge, f"{GRAMS}, levels long"), "gram-counts")
 
 
 def _bases(grams: np.ndarray, at: np.ndarray | int) -> np.ndarray:
@@ -158,6 +160,23 @@ def _place(bases: np.ndarray, slice_bits: int, probe: int) -> np.ndarray:
     return (bases * _A[probe + 1]) >> np.uint64(64 - slice_bits)
 
 
+def bits_for(items: float) -> int:
+    """Bits of a slice, as a power of two: BITS_PER_ITEM an item or more."""
+    return max(6, math.ceil(math.log2(max(1, items * BITS_PER_ITEM))))
+
+
+def slice_of(g: np.ndarray, lev: np.ndarray, slice_bits: int) -> bytes:
+    """The slice that holds (n-gram, 1) ... (n-gram, level)."""
+    on = np.zeros(1 << slice_bits, bool)
+    while len(g := g[lev > 0]):
+        lev = lev[lev > 0]
+        bases = _bases(g, lev)
+        for k in range(PROBES):
+            on[_place(bases, slice_bits, k).astype(np.int64)] = True
+        lev = lev - 1
+    return np.packbits(on, bitorder="little").tobytes()
+
+
 class Filter:
     """The whole filter, for probing."""
 
@@ -182,27 +201,16 @@ class Filter:
 
 def build_filter(spark: SparkSession, counts: DataFrame, bits: int, most: int = FILTER_BITS) -> tuple[bytes, int, int]:
     """(the filter, bits of a slice as a power of two, least count of a pair)."""
-    totals = {r["kind"]: r for r in counts.groupBy("kind").agg(F.sum("levels").alias("levels"), *(F.sum(F.get("per_count", F.lit(c))).alias(f"c{c}") for c in range(256))).collect()}
-    words = totals[1]["levels"] if 1 in totals else 0
-    pairs = np.array([totals[2][f"c{c}"] for c in range(256)], np.int64) if 2 in totals else np.zeros(256, np.int64)
-    for least in range(LEAST_PAIR, 256):
-        items = words + int((pairs * level(np.arange(256), least)).sum())
-        if items * BITS_PER_ITEM <= most:
-            break
-    slice_bits = max(6, min(math.ceil(math.log2(max(1, items * BITS_PER_ITEM))), int(math.log2(most))) - bits)
+    items = counts.agg(F.coalesce(F.sum("levels"), F.lit(0)).alias("items")).first()["items"]
+    if items * BITS_PER_ITEM > most:
+        raise ValueError(f"{items} items need more than {most} bits: score by ranges")
+    slice_bits, least = bits_for(items / (1 << bits)), LEAST_PAIR
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part, kind, grams, c in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                g, lev = np.frombuffer(grams, np.uint64), level(np.frombuffer(c, "<u4"), 1 if kind == 1 else least)
-                on = np.zeros(1 << slice_bits, bool)
-                while len(g := g[lev > 0]):
-                    lev = lev[lev > 0]
-                    bases = _bases(g, lev)
-                    for k in range(PROBES):
-                        on[_place(bases, slice_bits, k).astype(np.int64)] = True
-                    lev = lev - 1
-                yield pa.record_batch([pa.array([part], pa.int32()), pa.array([np.packbits(on, bitorder="little").tobytes()], pa.binary())], ["part", "bits"])
+                on = slice_of(np.frombuffer(grams, np.uint64), level(np.frombuffer(c, "<u4"), least), slice_bits)
+                yield pa.record_batch([pa.array([part], pa.int32()), pa.array([on], pa.binary())], ["part", "bits"])
 
     slices = counts.select("part", "kind", "grams", "counts").mapInArrow(build, "part int, bits binary").toArrow()
     step = (1 << slice_bits) // 8
@@ -212,6 +220,14 @@ def build_filter(spark: SparkSession, counts: DataFrame, bits: int, most: int =
     return data.tobytes(), slice_bits, least
 
 
+def log_shares(single: np.ndarray, pair: np.ndarray, z: float, weight: float) -> np.ndarray:
+    """log10 P of each token, from its count and its count after the token before."""
+    before = np.concatenate([[1.0], single[:-1]])
+    share = np.where(before > 0, np.minimum(pair / np.maximum(before, 1e-9), 1.0), 0.0)
+    lam = np.where(before > 0, weight, 0.0)
+    return np.log10(lam * share + (1 - lam) * (single + 0.5) / z)
+
+
 class ScoredWords(dict):
     """word -> its number; hashes and counts by number. Each word's count is probed once while it is kept.
 
@@ -256,10 +272,7 @@ class ScoredWords(dict):
         pair = np.zeros(len(t))
         pairs, back = np.unique(pair_grams(h[inside], h[inside + 1]), return_inverse=True)  # frequent pairs have the most levels
         pair[inside + 1] = count_of(self.filt.levels(pairs), self.least)[back]
-        before = np.concatenate([[1.0], single[:-1]])
-        share = np.where(before > 0, np.minimum(pair / np.maximum(before, 1e-9), 1.0), 0.0)
-        lam = np.where(before > 0, self.weight, 0.0)
-        logs = np.log10(lam * share + (1 - lam) * (single + 0.5) / self.z)
+        logs = log_shares(single, pair, self.z, self.weight)
         logs[t == 0] = 0
         ends = np.cumsum([len(x) for x in texts])
         if self.size > self.max_words:
@@ -267,6 +280,117 @@ class ScoredWords(dict):
         return np.add.reduceat(logs, np.concatenate([[0], ends[:-1]])).tolist()
 
 
+CHUNKS = {"sizes": "binary", "learn": "binary", "hashes": "binary", "singles": "binary"}
+#: Bytes of an n-gram within its range.
+SHORT = 5
+
+
+def _packed(x: np.ndarray, width: int) -> bytes:
+    """Whole numbers of so many low bytes, byte by byte in planes, compressed."""
+    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+    return len(x).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def _unpacked(b: bytes, width: int) -> np.ndarray:
+    n = int.from_bytes(b[:8], "little")
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        out[:, :width] = np.frombuffer(pa.decompress(b[8:], n * width, codec="zstd"), np.uint8).reshape(width, n).T
+    return out.view("<u8").reshape(-1)
+
+
+def chunker():
+    """For a batch (.., training text or not, text) the columns of CHUNKS, in the first row of each chunk of texts: tokens of each
+    text, training or not, distinct words' hashes (frequent ones first), and each token's number among these."""
+    hashes = WordHashes()
+
+    def run(b: pa.RecordBatch) -> list[pa.Array]:
+        values: list[list] = []
+        tokens, learn, size = [], [], 0
+
+        def close():
+            nonlocal tokens, learn, size
+            if tokens:
+                words, at, n = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
+                order = np.argsort(-n, kind="stable")
+                rank = np.empty(len(order), np.int64)
+                rank[order] = np.arange(len(order))
+                values.append([_packed(np.array([len(x) for x in tokens]), 4), _packed(np.array(learn, bool), 1), _packed(words[order], 8), _packed(rank[at], 4)])
+                values.extend([[None] * len(CHUNKS)] * (len(tokens) - 1))
+            tokens, learn, size = [], [], 0
+
+        for x, t in zip(b.column(b.num_columns - 2), b.column(b.num_columns - 1), strict=True):  # one by one: the texts are held once already
+            tokens.append(hashes.tokens(t.as_py()))
+            learn.append(x.as_py())
+            size += len(tokens[-1])
+            if size > CHUNK:
+                close()
+        close()
+        return [pa.array([v[k] for v in values], pa.binary()) for k in range(len(CHUNKS))]
+
+    return run
+
+
+def chunk_grams(hashes: np.ndarray, singles: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted distinct n-grams, number of each word's among them, places of tokens with a token before, number of their pair's)."""
+    t = hashes[singles]
+    inside = np.flatnonzero(t[1:] != _START)
+    pairs, at = np.unique(singles[inside] * len(hashes) + singles[inside + 1], return_inverse=True)
+    grams = np.concatenate([word_grams(hashes), pair_grams(hashes[pairs // len(hashes)], hashes[pairs % len(hashes)])])
+    order = np.argsort(grams)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return grams[order], rank[: len(hashes)], inside + 1, rank[len(hashes) :][at]
+
+
+def scores_by_range(chunks: DataFrame, starts: int, z: float, weight: float, bits: int) -> DataFrame:
+    """(_row, score) of each text: slices are built and probed range by range. chunks: (_row, columns of CHUNKS)."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row, sizes, learn, hashes, singles in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                h, s = _unpacked(hashes, 8), _unpacked(singles, 4).astype(np.int64)
+                grams, words, places, pairs = chunk_grams(h, s)
+                seen = np.repeat(_unpacked(learn, 1).astype(bool), _unpacked(sizes, 4).astype(np.int64))
+                word = seen & ((h != _START) & (h != _END))[s]  # start and end are counted apart
+                n = np.bincount(words[s[word]], minlength=len(grams)) + np.bincount(pairs[seen[places]], minlength=len(grams))
+                ends = np.searchsorted(grams >> np.uint64(64 - bits), np.arange((1 << bits) + 1).astype(np.uint64))
+                short = (grams << np.uint64(bits)) >> np.uint64(64 - 8 * SHORT)
+                rows = [(p, _packed(short[a:e], SHORT), _packed(n[a:e], 4)) for p, (a, e) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if e > a]
+                yield pa.record_batch([pa.array([row] * len(rows), pa.int64()), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int32(), pa.binary(), pa.binary())))], ["_row", "part", "grams", "counts"])
+
+    def probe(key, rows):
+        grams = [_unpacked(x, SHORT) for x in rows.column("grams").to_pylist()]
+        g, back = np.unique(np.concatenate(grams), return_inverse=True)
+        c = np.bincount(back, np.concatenate([_unpacked(x, 4) for x in rows.column("counts").to_pylist()]), len(g))
+        g, lev = g << np.uint64(64 - 8 * SHORT), level(c, 1)
+        slice_bits = bits_for(int(lev.sum()))
+        found = Filter(slice_of(g, lev, slice_bits), 0, slice_bits).levels(g)[back]
+        ends = np.cumsum([len(x) for x in grams])
+        return pa.table({"_row": rows.column("_row"), "part": rows.column("part"), "levels": pa.array([_packed(x, 1) for x in np.split(found, ends[:-1])], pa.binary())})
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row, sizes, hashes, singles, levels in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                s = _unpacked(singles, 4).astype(np.int64)
+                _, words, places, pairs = chunk_grams(_unpacked(hashes, 8), s)
+                counts = count_of(np.concatenate([_unpacked(x["levels"], 1) for x in levels]).astype(np.int64), 1)
+                ends = np.cumsum(_unpacked(sizes, 4).astype(np.int64))
+                first = np.concatenate([[0], ends[:-1]])
+                single, pair = counts[words[s]], np.zeros(len(s))
+                pair[places] = counts[pairs]
+                single[first] = single[ends - 1] = starts
+                logs = log_shares(single, pair, z, weight)
+                logs[first] = 0
+                yield pa.record_batch([pa.array(row + np.arange(len(ends)), pa.int64()), pa.array(np.add.reduceat(logs, first), pa.float64())], ["_row", "score"])
+
+    chunks = chunks.filter("sizes IS NOT NULL")
+    asked = chunks.select("_row", *CHUNKS).mapInArrow(ask, "_row long, part int, grams binary, counts binary")
+    levels = asked.groupBy("part").applyInArrow(probe, "_row long, part int, levels binary")
+    by_chunk = levels.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("part", "levels"))).alias("levels"))
+    return chunks.select("_row", "sizes", "hashes", "singles").join(by_chunk, "_row").mapInArrow(score, "_row long, score double")
+
+
 def score_texts(spark: SparkSession, docs: DataFrame, id: str = "doc_id", text: str = "text", remainder: int = 1, weight: float = LAMBDA, filter_bits: int = FILTER_BITS) -> DataFrame:
     """One row for each row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -277,34 +401,39 @@ def score_texts(spark: SparkSession, docs: DataFrame, id: str = "doc_id", text:
     rows = docs.select(F.col(id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     learn = rows.filter(~held_out("_id", remainder))
     counted = written(spark, word_counts(learn, "_text", lower=True), "words")
-    totals = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    totals = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.sum(1 + F.floor(2 * F.log2("n") + 1e-9)), F.lit(0)).alias("levels")).first()
     starts = learn.count()
     n, v = totals["n"] + starts, totals["v"] + bool(starts)
     z = n + 0.5 * (v + 1)
 
     bits = max(4, min(16, math.ceil(math.log2(max(1, n / RANGE_TOKENS)))))
-    counts = gram_counts(spark, learn, counted, "_text", bits)
-    data, slice_bits, least = build_filter(spark, counts, bits, filter_bits)
-    dropped(spark, counts)
-    sent = spark.sparkContext.broadcast(data)
-
-    def scorer():
-        model = ScoredWords(Filter(sent.value, bits, slice_bits), n, v, starts, least, weight)
-
-        def score(texts: list[bytes]) -> list[float]:
-            out, held, size = [], [], 0
-            for t in texts:
-                held.append(model.numbers(t))
-                size += len(held[-1])
-                if size > 500_000:
-                    out += model.scores(held)
-                    held, size = [], 0
-            return out + (model.scores(held) if held else [])
-
-        return score
-
     vocabulary = counted.select("word", "n", F.lit(1).cast("long").alias("n_known"), F.log10((F.col("n") + 0.5) / z).alias("logs"))
-    sums = summed_by_document(spark, rows, ["_id"], vocabulary, {"n_known": "long", "logs": "double"}, "_text", lower=True, extra="score", extra_of=scorer)
+    summed = {"n_known": "long", "logs": "double"}
+    if (totals["levels"] + MOST_LEVELS * n) * BITS_PER_ITEM <= filter_bits:
+        counts = gram_counts(spark, learn, counted, "_text", bits)
+        data, slice_bits, least = build_filter(spark, counts, bits, filter_bits)
+        dropped(spark, counts)
+        sent = spark.sparkContext.broadcast(data)
+
+        def scorer():
+            model = ScoredWords(Filter(sent.value, bits, slice_bits), n, v, starts, least, weight)
+
+            def score(b: pa.RecordBatch) -> list[pa.Array]:
+                out, held, size = [], [], 0
+                for t in b.column(b.num_columns - 1).to_pylist():
+                    held.append(model.numbers(t))
+                    size += len(held[-1])
+                    if size > 500_000:
+                        out += model.scores(held)
+                        held, size = [], 0
+                return [pa.array(out + (model.scores(held) if held else []), pa.float64())]
+
+            return score
+
+        sums = summed_by_document(spark, rows, ["_id"], vocabulary, summed, "_text", lower=True, extra={"score": "double"}, extra_of=scorer)
+    else:
+        marked = rows.withColumn("_learn", ~held_out("_id", remainder))
+        sums = summed_by_document(spark, marked, ["_id", "_learn"], vocabulary, summed, "_text", lower=True, extra=CHUNKS, extra_of=chunker, then=lambda chunks: scores_by_range(chunks, starts, z, weight, bits))
     unseen = math.log10(0.5 / z)
     end = math.log10((starts + 0.5) / z)
     return sums.select(

@@ -74,13 +74,16 @@ def summed_by_document(
     text: str = "text",
     lower: bool = False,
     head: int = HEAD,
-    extra: str | None = None,
-    extra_of: Callable[[], Callable[[list[bytes]], list[float]]] | None = None,
+    extra: dict[str, str] | None = None,
+    extra_of: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]] | None = None,
+    then: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """One row for each row of docs: the columns `carry`, n_words, and for each of `values` (name: "long" or "double")
     the sum of it over all word occurrences of the text; words that the vocabulary lacks add nothing.
 
-    extra: name of a column of doubles that extra_of()(texts) gives in the same pass.
+    extra: columns (name: type) that extra_of()(batch) gives in the same pass; a batch has the columns `carry`, then the texts.
+    then: makes of the written rows (_row, extra) a table (_row, more columns); _row counts up within a task, in the order of its
+    batches. The result has its columns, not those of extra.
     vocabulary: (word, n, *values), written. Word frequencies are counted in the task that reads the document.
     """
     names = list(values)
@@ -89,8 +92,8 @@ def summed_by_document(
     kinds = docs.select(*carry).schema
     arrow = {"long": pa.int64(), "double": pa.float64()}
     sums = ", ".join(f"h_{n} {k}" for n, k in values.items())
-    more = [extra] if extra else []
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds), "n_words long", sums, "words array<binary>", "freqs array<long>", *(f"`{x}` double" for x in more)])
+    more = extra or {}
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds), "n_words long", sums, "words array<binary>", "freqs array<long>", *(f"`{x}` {k}" for x, k in more.items())])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = known.value
@@ -115,7 +118,7 @@ def summed_by_document(
                 for i, x in enumerate(mine):
                     totals[i].append(x)
             yield pa.record_batch(
-                [*b.columns[:-1], pa.array(n_words, pa.int64()), *(pa.array(x, arrow[values[n]]) for x, n in zip(totals, names, strict=True)), pa.array(words, pa.list_(pa.binary())), pa.array(freqs, pa.list_(pa.int64())), *(pa.array(more_of(texts), pa.float64()) for _ in more)],
+                [*b.columns[:-1], pa.array(n_words, pa.int64()), *(pa.array(x, arrow[values[n]]) for x, n in zip(totals, names, strict=True)), pa.array(words, pa.list_(pa.binary())), pa.array(freqs, pa.list_(pa.int64())), *(more_of(b) if more_of else ())],
                 [f.name for f in kinds] + ["n_words", *(f"h_{n}" for n in names), "words", "freqs", *more],
             )
 
@@ -125,4 +128,7 @@ def summed_by_document(
     pairs = pairs.select("_row", F.col("w.words").alias("word"), F.col("w.freqs").alias("freq"))
     added = pairs.join(rare, "word").groupBy("_row").agg(*(F.sum(F.col(n) * F.col("freq")).alias(f"t_{n}") for n in names))
     out = by_row.drop("words", "freqs").join(added, "_row", "left")
+    if then:
+        made = then(by_row.select("_row", *more))
+        out, more = out.drop(*more).join(made, "_row"), [c for c in made.columns if c != "_row"]
     return out.select(*carry, *more, "n_words", *((F.col(f"h_{n}") + F.coalesce(F.col(f"t_{n}"), F.lit(0))).alias(n) for n in names))

@@ -220,6 +220,39 @@ def test_log_frequency_filter_gives_counts_back(spark):
     assert levels[0] == 0 and list(levels) == sorted(levels)
 
 
+def test_pairs_seen_once_are_held(spark):
+    rows = make(spark, ["a b c d"]).select("doc_id", F.col("text").alias("_text"))
+    counted = common.written(spark, lm_scores.word_counts(rows, "_text", lower=True), "w")
+    data, slice_bits, least = lm_scores.build_filter(spark, lm_scores.gram_counts(spark, rows, counted, "_text", 4), 4)
+    t = lm_scores.WordHashes().tokens(b"b c")
+    assert lm_scores.count_of(lm_scores.Filter(data, 4, slice_bits).levels(lm_scores.pair_grams(t[1:2], t[2:3])), least)[0] == 1
+
+
+@pytest.mark.parametrize("filter_bits, chunk", [(1 << 28, 500_000), (1 << 10, 500_000), (1 << 10, 700)])
+def test_language_model_does_not_overfill(spark, monkeypatch, filter_bits, chunk):
+    monkeypatch.setattr(lm_scores, "CHUNK", chunk)
+    r = random.Random(8)
+    words = [f"w{int(400 * r.random() ** 3)}" for _ in range(40_000)]
+    docs = [" ".join(words[i : i + 100]) for i in range(0, len(words), 100)] + [None, "", words[0], "w1 W2 " * 200]
+    tokens = lambda t: [0, *(t or "").lower().split(), 1]
+    single: Counter = Counter()
+    pair: Counter = Counter()
+    for i, t in enumerate(docs, 1):
+        if not held(i, 1):
+            k = tokens(t)
+            single.update(k)
+            pair.update(zip(k, k[1:]))
+    z = sum(single.values()) - single[0] + 0.5 * (len(single) - 1 + 1)
+    got = {x.doc_id: x.score for x in lm_scores.score_texts(spark, make(spark, docs), filter_bits=filter_bits).collect()}
+    assert len(got) == len(docs)
+    off = []
+    for i, t in enumerate(docs, 1):
+        k = tokens(t)
+        want = sum(math.log10(0.2 * pair[a, b] / single[a] + 0.8 * (single[b] + 0.5) / z if single[a] else (single[b] + 0.5) / z) for a, b in zip(k, k[1:]))
+        off.append(abs(got[i] - want) / (len(k) - 1))
+    assert max(off) < 0.2 and sum(off) / len(off) < 0.05
+
+
 def test_model_beats_base_on_held_out_texts(spark):
     r = lm_scores.score_texts(spark, common.table(spark, "/root/testdata/sf0.01", "documents")).filter("held_out").agg(F.sum("score").alias("m"), F.sum("base_score").alias("b")).first()
     assert r.m > r.b
