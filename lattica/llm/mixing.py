@@ -9,6 +9,7 @@ D sums over all documents; only v, D numbers, passes between steps, and a docume
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -166,8 +167,8 @@ def mix(spark: SparkSession, docs: DataFrame, labelled: DataFrame, targets: dict
     return soft.select(F.col("_id").alias(id), F.col("__tokens").alias("n_tokens"), *(F.get("__p", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(domains)), _rate(steps, low, high).alias("rate"))
 
 
-def resampled(spark: SparkSession, docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id: str = "doc_id", text: str = "text", domain: str = "domain", high: float = 3.0) -> DataFrame:
-    """The rows of docs, each once or more: floor(rate + u) times, u in [0, 1) hashed from id and text; rates are 1 or more."""
+def resampled(spark: SparkSession, docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id: str = "doc_id", text: str = "text", domain: str = "domain", high: float = math.inf) -> DataFrame:
+    """The rows of docs, each once or more: floor(rate + u) times, u in [0, 1) hashed from id and text; rates are 1 or more, as high as targets ask."""
     domains = sorted(targets)
     weights = train(spark, docs, labelled, domains, id, text, domain)
     columns = docs.columns

@@ -417,6 +417,22 @@ def test_rates_stay_within_bounds(spark):
     assert all(0 <= r.r <= 10 for r in rows) and rows[0].r < 0.2
 
 
+def test_resampling_meets_targets_on_a_skewed_mix(spark):
+    words = {"de": "der hund und die katze", "en": "the dog and a cat", "es": "el perro y los gatos", "fr": "le chien avec une souris"}
+    n = {"de": 100, "en": 780, "es": 50, "fr": 70}
+    docs = make(spark, [f"{words[d]} " * 5 + f"x{i}" for d in words for i in range(n[d])])
+    langs = [d for d in words for _ in range(n[d])]
+    labels = spark.createDataFrame([(i, d) for i, d in enumerate(langs, 1)], "doc_id long, domain string")
+    targets = queries.LANGUAGES
+    times = Counter(r.doc_id for r in mixing.resampled(spark, docs, labels, targets).select("doc_id").collect())
+    assert len(times) == 1000
+    got = Counter()
+    for i, k in times.items():
+        got[langs[i - 1]] += k
+    for d in targets:
+        assert got[d] / got.total() == pytest.approx(targets[d], abs=0.015)
+
+
 def test_pipeline_by_stages(spark):
     import corpus_pipeline as cp
 
