@@ -5,10 +5,14 @@ domains. Rates r, one for each document, minimise the squared distance of expect
 r * tokens * posterior, from their targets, by projected gradient: in the metric in which a token counts the same in every document a step is
 r <- clip(r - posterior . v), v = (sum of tokens * posterior * posterior^T)^-1 (totals - targets). A step is one aggregation of
 D sums over all documents; only v, D numbers, passes between steps, and a document's rate is replayed from them.
+Where bounds hold such a step back, longer ones, and those by the matrix over the documents that may still move only, are tried in one
+more aggregation, and the best is taken.
+Distances are in the metric of the matrix over all documents; what is left of them at the end is logged.
 """
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Iterator
 
@@ -20,13 +24,18 @@ from xxhash import xxh64_intdigest
 
 from lattica.llm.common import text_bytes, written
 
+log = logging.getLogger(__name__)
+
 BITS = 16
 #: Labelled rows that the fit takes at most, and words of each (evenly spaced ones of a longer text).
 SAMPLE, SAMPLE_WORDS = 4_000, 800
 EPOCHS, RATE, SCALE = 3, 0.5, 20.0
+#: Steps at most; a distance that is left is logged as a warning.
 STEPS = 30
 #: Relative distance from the targets at which steps end.
-NEAR = 2e-5
+NEAR = 1e-5
+#: A step that leaves more than this part of the squared distance is held back by bounds.
+SLOW = 0.1
 #: Where totals may grow, the factor beyond the least that no domain must shrink for: soft members of other domains add a little.
 GROWN = 1.03
 
@@ -125,30 +134,43 @@ def fit_rates(soft: DataFrame, targets: list[float], low: float = 0.0, high: flo
     n = len(targets)
     p = [F.get("__p", F.lit(d)) for d in range(n)]
     cells = [F.sum(F.col("__tokens") * p[a] * p[b]).alias(f"m{a}_{b}") for a in range(n) for b in range(a, n)]
+
+    def inverse_of(row) -> np.ndarray:
+        m = np.array([[row[f"m{min(a, b)}_{max(a, b)}"] or 0.0 for b in range(n)] for a in range(n)])
+        return np.linalg.pinv(m + np.eye(n) * 1e-9 * np.trace(m))
+
     first = soft.agg(*(F.sum(F.col("__tokens") * p[d]).alias(f"t{d}") for d in range(n)), *cells).first()
     now = np.array([first[f"t{d}"] or 0.0 for d in range(n)])
     if now.sum() == 0:
         return []
-    m = np.zeros((n, n))
-    for a in range(n):
-        for b in range(a, n):
-            m[a, b] = m[b, a] = first[f"m{a}_{b}"]
     share = np.array(targets) / sum(targets)
     total = GROWN * max(now[d] / share[d] for d in range(n) if share[d] > 0 and now[d] > 1e-6 * now.sum()) if grow else now.sum()
     goal = share * total
-    inverse = np.linalg.pinv(m + np.eye(n) * 1e-9 * np.trace(m))
+    inverse = inverse_of(first)
+    far = lambda t: float((t - goal) @ inverse @ (t - goal))
     steps: list[list[float]] = []
-    for _ in range(STEPS):
-        off = now - goal
-        if np.abs(off).max() <= NEAR * goal.sum():
-            break
-        steps.append((inverse @ off).tolist())
-        weighed = soft.withColumn("__r", _rate(steps, low, high) * F.col("__tokens"))
-        got = weighed.agg(*(F.sum(F.col("__r") * p[d]).alias(f"t{d}") for d in range(n))).first()
-        after = np.array([got[f"t{d}"] for d in range(n)])
-        if np.abs(after - goal).sum() >= np.abs(off).sum() * 0.95:  # the bounds hold it here
+
+    def best(tries: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(totals, v) of the nearest of the steps tried, all in one aggregation."""
+        weighed = soft.withColumn("__r", _rate(steps, low, high))
+        moved = [F.least(F.lit(float(high)), F.greatest(F.lit(float(low)), F.col("__r") - sum((p[d] * F.lit(float(v[d])) for d in range(n)), F.lit(0.0)))) for v in tries]
+        got = weighed.select("__tokens", "__p", *(m.alias(f"__r{k}") for k, m in enumerate(moved))).agg(*(F.sum(F.col(f"__r{k}") * F.col("__tokens") * p[d]).alias(f"t{k}_{d}") for k in range(len(tries)) for d in range(n))).first()
+        return min(((np.array([got[f"t{k}_{d}"] for d in range(n)]), v) for k, v in enumerate(tries)), key=lambda x: far(x[0]))
+
+    while len(steps) < STEPS and np.abs(now - goal).max() > NEAR * goal.sum():
+        v = inverse @ (now - goal)
+        after, taken = best([v])
+        if far(after) > SLOW * far(now):
+            rate, down = _rate(steps, low, high), sum((p[d] * F.lit(float(v[d])) for d in range(n)), F.lit(0.0))
+            free = soft.filter(((rate > low) | (down < 0)) & ((rate < high) | (down > 0))).agg(*cells).first()
+            other = inverse_of(free) @ (now - goal)
+            after, taken = min((after, taken), best([*(v * 2.0**k for k in range(1, 9)), *(other * 2.0**k for k in range(-4, 4))]), key=lambda x: far(x[0]))
+        if far(after) >= far(now) * (1 - 1e-6):  # the bounds hold it here
             break
         now = after
+        steps.append(taken.tolist())
+    left = float(np.abs(now - goal).sum() / goal.sum())
+    log.log(logging.WARNING if np.abs(now - goal).max() > NEAR * goal.sum() else logging.INFO, "mixing: %d steps, distance from the targets %.3g of the total, shares %s", len(steps), left, np.round(now / now.sum(), 5).tolist())
     return steps
 
 

@@ -417,6 +417,26 @@ def test_rates_stay_within_bounds(spark):
     assert all(0 <= r.r <= 10 for r in rows) and rows[0].r < 0.2
 
 
+@pytest.mark.parametrize("shares, low, high, grow, sharp", [([0.2, 0.59, 0.015, 0.195], 0.0, 4.0, False, 2.0), ([0.2, 0.59, 0.015, 0.195], 1.0, math.inf, True, 2.0), ([0.05, 0.9, 0.02, 0.03], 1.0, math.inf, True, 1.0)])
+def test_rates_reach_targets_where_bounds_bind(spark, shares, low, high, grow, sharp):
+    import numpy as np
+
+    g = np.random.default_rng(4)
+    own = g.choice(4, 3000, p=shares)
+    s = g.normal(0, 1, (3000, 4))
+    s[np.arange(3000), own] += 2 * sharp
+    q = np.exp(s)
+    q /= q.sum(1, keepdims=True)
+    tokens = g.integers(50, 500, 3000)
+    soft = spark.createDataFrame([(int(t), x.tolist()) for t, x in zip(tokens, q, strict=True)], "__tokens long, __p array<double>").coalesce(1).cache()
+    want = [0.17, 0.50, 0.15, 0.18]
+    steps = mixing.fit_rates(soft, want, low, high, grow)
+    rates = np.array([r.r for r in soft.select(mixing._rate(steps, low, high).alias("r")).collect()])
+    assert rates.min() >= low and rates.max() <= high
+    got = (rates * tokens) @ q
+    assert np.abs(got / got.sum() - want).max() < 1e-4
+
+
 def test_resampling_meets_targets_on_a_skewed_mix(spark):
     words = {"de": "der hund und die katze", "en": "the dog and a cat", "es": "el perro y los gatos", "fr": "le chien avec une souris"}
     n = {"de": 100, "en": 780, "es": 50, "fr": 70}
