@@ -14,14 +14,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
 
 from lattica.llm.common import dropped, held_out, text_bytes, written
+from lattica.llm.words import bounded_batches, mixed, split_words
 from lattica.llm.wordstats import summed_by_document, word_counts
 
 #: 32 MB: what is broadcast has this bound.
@@ -31,13 +32,16 @@ PROBES = 3
 #: Pairs of every count are held.
 LEAST_PAIR = 1
 LAMBDA = 0.2
-LEVELS = 64
+#: Counts up to 2^48.
+LEVELS = 97
 #: Word pairs that a map task gathers before it hands their counts on.
 FLUSH = 1_000_000
 #: Tokens of a range of n-gram hashes, about.
 RANGE_TOKENS = 2_000_000
+#: Ranges as a power of two at most: with more tokens than RANGE_TOKENS << 20 ranges grow.
+MOST_RANGE_BITS = 20
 #: Tokens of a chunk of texts, about.
-CHUNK = 500_000
+CHUNK = 1_000_000
 #: The most levels for each occurrence: level(2, 1) = 3, less beyond.
 MOST_LEVELS = 1.5
 
@@ -45,37 +49,29 @@ _A = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E
 _START, _END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * _A[0]
-    return x ^ (x >> np.uint64(29))
-
-
 def word_grams(h: np.ndarray) -> np.ndarray:
-    return _mixed(h * _A[1] + np.uint64(1))
+    return mixed(h * _A[1] + np.uint64(1))
 
 
 def pair_grams(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return _mixed(a * _A[2] + b * _A[3] + np.uint64(2))
-
-
-class WordHashes(dict):
-    """word -> 64-bit hash; at most max_words are kept."""
-
-    max_words = 300_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.max_words:
-            self.clear()
-        self[word] = h = xxh64_intdigest(word)
-        return h
-
-    def tokens(self, text: bytes) -> np.ndarray:
-        """Start, the words, end."""
-        words = text.lower().split()
-        out = np.empty(len(words) + 2, np.uint64)
-        out[0], out[-1] = _START, _END
-        out[1:-1] = np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-        return out
+    return mixed(a * _A[2] + b * _A[3] + np.uint64(2))
+
+
+def tokens(texts: pa.Array, most: int = 300_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hashes: start, the words and end of text after text; end of each text among them), for some texts at a time: at most `most` words or one text."""
+    words = split_words(texts)
+    n, at = len(words.ends) - 1, 0
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(words.ends, words.ends[at] + most, "right")) - 1)
+        a, b = words.ends[at], words.ends[to]
+        ends = words.ends[at + 1 : to + 1] - a + 2 * np.arange(1, to - at + 1)
+        out = np.empty(int(b - a) + 2 * (to - at), np.uint64)
+        inner = np.ones(len(out), bool)
+        inner[ends - 1] = inner[np.concatenate([[0], ends[:-1]])] = False
+        out[inner] = words.hashes[a:b]
+        out[np.concatenate([[0], ends[:-1]])], out[ends - 1] = _START, _END
+        yield out, ends
+        at = to
 
 
 def _pairs(t: np.ndarray) -> np.ndarray:
@@ -92,7 +88,7 @@ def _dealt(kind: int, grams: np.ndarray, counts: np.ndarray, bits: int) -> pa.Re
     """A row for each range of hashes; grams are sorted."""
     part = (grams >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(grams), np.int64)
     ends = np.searchsorted(part, np.arange((1 << bits) + 1))
-    rows = [(p, grams[a:b].tobytes(), counts[a:b].astype("<u4").tobytes()) for p, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if b > a]
+    rows = [(p, grams[a:b].tobytes(), counts[a:b].astype("<u8").tobytes()) for p, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if b > a]
     return pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([kind] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["part", "kind", "grams", "counts"])
 
 
@@ -113,11 +109,11 @@ def gram_counts(spark: SparkSession, docs: DataFrame, vocabulary: DataFrame, tex
     """(part, kind, grams, counts, levels): exact counts by range of hashes, sorted, and the items they make; kind 1: words, 2: pairs."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, n = WordHashes(), [], 0
+        held, n = [], 0
         for b in batches:
-            for t in b.column(0).to_pylist():
-                held.append(hashes.tokens(t))
-                n += len(held[-1])
+            for t, _ in tokens(b.column(0)):
+                held.append(t)
+                n += len(t)
                 if n > FLUSH:
                     yield _dealt(2, *np.unique(_pairs(np.concatenate(held)), return_counts=True), bits)
                     held, n = [], 0
@@ -127,23 +123,22 @@ def gram_counts(spark: SparkSession, docs: DataFrame, vocabulary: DataFrame, tex
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, counts = [], []
         for b in batches:
-            h = np.fromiter(map(xxh64_intdigest, b.column(0).to_pylist()), np.uint64, b.num_rows)
-            grams.append(word_grams(h))
+            grams.append(word_grams(split_words(b.column(0)).hashes))  # a word for each row
             counts.append(b.column(1).to_numpy())
         if grams:
             g, c = np.concatenate(grams), np.concatenate(counts)
             order = np.argsort(g)
-            yield _dealt(1, g[order], np.minimum(c[order], 2**32 - 1), bits)
+            yield _dealt(1, g[order], c[order], bits)
 
     def merge(key, rows):
         kind = key[1].as_py()
         g = np.concatenate([np.frombuffer(x, np.uint64) for x in rows.column("grams").to_pylist()])
-        c = np.concatenate([np.frombuffer(x, "<u4") for x in rows.column("counts").to_pylist()]).astype(np.int64)
+        c = np.concatenate([np.frombuffer(x, "<u8") for x in rows.column("counts").to_pylist()]).astype(np.int64)
         order = np.argsort(g, kind="stable")
         g, c = g[order], c[order]
         first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-        g, c = g[first], np.minimum(np.add.reduceat(c, first), 2**32 - 1)
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "kind": pa.array([kind], pa.int32()), "grams": pa.array([g.tobytes()], pa.binary()), "counts": pa.array([c.astype("<u4").tobytes()], pa.binary()), "levels": pa.array([int(level(c, 1).sum())], pa.int64())})
+        g, c = g[first], np.add.reduceat(c, first)
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "kind": pa.array([kind], pa.int32()), "grams": pa.array([g.tobytes()], pa.binary()), "counts": pa.array([c.astype("<u8").tobytes()], pa.binary()), "levels": pa.array([int(level(c, 1).sum())], pa.int64())})
 
     both = docs.select(text_bytes(text).alias("t")).mapInArrow(pairs, GRAMS).unionByName(vocabulary.select("word", "n").mapInArrow(words, GRAMS))
     return written(spark, both.groupBy("part", "kind").applyInArrow(merge, f"{GRAMS}, levels long"), "gram-counts")
@@ -209,7 +204,7 @@ def build_filter(spark: SparkSession, counts: DataFrame, bits: int, most: int =
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part, kind, grams, c in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                on = slice_of(np.frombuffer(grams, np.uint64), level(np.frombuffer(c, "<u4"), least), slice_bits)
+                on = slice_of(np.frombuffer(grams, np.uint64), level(np.frombuffer(c, "<u8"), least), slice_bits)
                 yield pa.record_batch([pa.array([part], pa.int32()), pa.array([on], pa.binary())], ["part", "bits"])
 
     slices = counts.select("part", "kind", "grams", "counts").mapInArrow(build, "part int, bits binary").toArrow()
@@ -228,56 +223,29 @@ def log_shares(single: np.ndarray, pair: np.ndarray, z: float, weight: float) ->
     return np.log10(lam * share + (1 - lam) * (single + 0.5) / z)
 
 
-class ScoredWords(dict):
-    """word -> its number; hashes and counts by number. Each word's count is probed once while it is kept.
-
-    Numbers 0 and 1 are start and end. More than max_words are forgotten between calls of scores().
-    """
-
-    max_words = 400_000
-
-    def __init__(self, filt: Filter, n: int, v: int, starts: int, least: int, weight: float):
-        super().__init__()
-        self.filt, self.z, self.starts, self.least, self.weight = filt, n + 0.5 * (v + 1), starts, least, weight
-        self._forget()
-
-    def _forget(self) -> None:
-        self.clear()
-        self.hashes, self.counts, self.new, self.size = np.array([_START, _END], np.uint64), np.full(2, float(self.starts)), [], 2
-
-    def __missing__(self, word: bytes) -> int:
-        self.new.append(xxh64_intdigest(word))
-        self[word] = i = self.size
-        self.size += 1
-        return i
-
-    def numbers(self, text: bytes) -> np.ndarray:
-        """Start, the words, end."""
-        words = text.lower().split()
-        out = np.empty(len(words) + 2, np.int64)
-        out[0], out[-1] = 0, 1
-        out[1:-1] = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        return out
-
-    def scores(self, texts: list[np.ndarray]) -> list[float]:
-        """log10 probability of each text (numbers of its words), end included."""
-        if self.new:
-            h = np.array(self.new, np.uint64)
-            self.hashes = np.concatenate([self.hashes, h])
-            self.counts = np.concatenate([self.counts, count_of(self.filt.levels(word_grams(h)), 1)])
-            self.new = []
-        t = np.concatenate(texts)
-        h, single = self.hashes[t], self.counts[t]
-        inside = np.flatnonzero(t[1:] != 0)
-        pair = np.zeros(len(t))
-        pairs, back = np.unique(pair_grams(h[inside], h[inside + 1]), return_inverse=True)  # frequent pairs have the most levels
+@dataclass
+class Scorer:
+    """Scores by a filter that a worker holds whole. n, v: tokens and distinct ones; starts: training texts."""
+
+    filt: Filter
+    n: int
+    v: int
+    starts: int
+    least: int
+    weight: float
+
+    def scores(self, t: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """log10 probability of each text, end included. Each distinct word and pair is probed once."""
+        words, at = np.unique(t, return_inverse=True)
+        counts = count_of(self.filt.levels(word_grams(words)), 1)
+        counts[(words == _START) | (words == _END)] = self.starts
+        single, pair = counts[at], np.zeros(len(t))
+        inside = np.flatnonzero(t[1:] != _START)
+        pairs, back = np.unique(pair_grams(t[inside], t[inside + 1]), return_inverse=True)
         pair[inside + 1] = count_of(self.filt.levels(pairs), self.least)[back]
-        logs = log_shares(single, pair, self.z, self.weight)
-        logs[t == 0] = 0
-        ends = np.cumsum([len(x) for x in texts])
-        if self.size > self.max_words:
-            self._forget()
-        return np.add.reduceat(logs, np.concatenate([[0], ends[:-1]])).tolist()
+        logs = log_shares(single, pair, self.n + 0.5 * (self.v + 1), self.weight)
+        logs[t == _START] = 0
+        return np.add.reduceat(logs, np.concatenate([[0], ends[:-1]]))
 
 
 CHUNKS = {"sizes": "binary", "learn": "binary", "hashes": "binary", "singles": "binary"}
@@ -302,30 +270,18 @@ def _unpacked(b: bytes, width: int) -> np.ndarray:
 def chunker():
     """For a batch (.., training text or not, text) the columns of CHUNKS, in the first row of each chunk of texts: tokens of each
     text, training or not, distinct words' hashes (frequent ones first), and each token's number among these."""
-    hashes = WordHashes()
 
     def run(b: pa.RecordBatch) -> list[pa.Array]:
         values: list[list] = []
-        tokens, learn, size = [], [], 0
-
-        def close():
-            nonlocal tokens, learn, size
-            if tokens:
-                words, at, n = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
-                order = np.argsort(-n, kind="stable")
-                rank = np.empty(len(order), np.int64)
-                rank[order] = np.arange(len(order))
-                values.append([_packed(np.array([len(x) for x in tokens]), 4), _packed(np.array(learn, bool), 1), _packed(words[order], 8), _packed(rank[at], 4)])
-                values.extend([[None] * len(CHUNKS)] * (len(tokens) - 1))
-            tokens, learn, size = [], [], 0
-
-        for x, t in zip(b.column(b.num_columns - 2), b.column(b.num_columns - 1), strict=True):  # one by one: the texts are held once already
-            tokens.append(hashes.tokens(t.as_py()))
-            learn.append(x.as_py())
-            size += len(tokens[-1])
-            if size > CHUNK:
-                close()
-        close()
+        learn = b.column(b.num_columns - 2).to_numpy(zero_copy_only=False)
+        for t, ends in tokens(b.column(b.num_columns - 1), CHUNK):
+            words, at, n = np.unique(t, return_inverse=True, return_counts=True)
+            order = np.argsort(-n, kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            mine = learn[len(values) : len(values) + len(ends)].astype(bool)
+            values.append([_packed(np.diff(ends, prepend=0), 4), _packed(mine, 1), _packed(words[order], 8), _packed(rank[at], 4)])
+            values.extend([[None] * len(CHUNKS)] * (len(ends) - 1))
         return [pa.array([v[k] for v in values], pa.binary()) for k in range(len(CHUNKS))]
 
     return run
@@ -398,6 +354,7 @@ def score_texts(spark: SparkSession, docs: DataFrame, id: str = "doc_id", text:
     crc32(id as text) mod 5 isn't the remainder (a null id counts as the text ""). Null and empty texts: the end alone.
     Without training texts every base score is 0 and the model's is 0. Repeated rows: a row each, each counted. An empty table: no rows.
     """
+    bounded_batches(spark)
     rows = docs.select(F.col(id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     learn = rows.filter(~held_out("_id", remainder))
     counted = written(spark, word_counts(learn, "_text", lower=True), "words")
@@ -406,7 +363,7 @@ def score_texts(spark: SparkSession, docs: DataFrame, id: str = "doc_id", text:
     n, v = totals["n"] + starts, totals["v"] + bool(starts)
     z = n + 0.5 * (v + 1)
 
-    bits = max(4, min(16, math.ceil(math.log2(max(1, n / RANGE_TOKENS)))))
+    bits = max(4, min(MOST_RANGE_BITS, math.ceil(math.log2(max(1, n / RANGE_TOKENS)))))
     vocabulary = counted.select("word", "n", F.lit(1).cast("long").alias("n_known"), F.log10((F.col("n") + 0.5) / z).alias("logs"))
     summed = {"n_known": "long", "logs": "double"}
     if (totals["levels"] + MOST_LEVELS * n) * BITS_PER_ITEM <= filter_bits:
@@ -416,17 +373,10 @@ def score_texts(spark: SparkSession, docs: DataFrame, id: str = "doc_id", text:
         sent = spark.sparkContext.broadcast(data)
 
         def scorer():
-            model = ScoredWords(Filter(sent.value, bits, slice_bits), n, v, starts, least, weight)
+            model = Scorer(Filter(sent.value, bits, slice_bits), n, v, starts, least, weight)
 
             def score(b: pa.RecordBatch) -> list[pa.Array]:
-                out, held, size = [], [], 0
-                for t in b.column(b.num_columns - 1).to_pylist():
-                    held.append(model.numbers(t))
-                    size += len(held[-1])
-                    if size > 500_000:
-                        out += model.scores(held)
-                        held, size = [], 0
-                return [pa.array(out + (model.scores(held) if held else []), pa.float64())]
+                return [pa.array(np.concatenate([*(model.scores(t, ends) for t, ends in tokens(b.column(b.num_columns - 1))), np.empty(0)]))]
 
             return score
 
