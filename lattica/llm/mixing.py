@@ -20,15 +20,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
 
 from lattica.llm.common import text_bytes, written
+from lattica.llm.words import bounded_batches, split_words
 
 log = logging.getLogger(__name__)
 
 BITS = 16
-#: Labelled rows that the fit takes at most, and words of each (evenly spaced ones of a longer text).
-SAMPLE, SAMPLE_WORDS = 4_000, 800
+#: Labelled rows that the fit takes at most, each with all its words.
+SAMPLE = 4_000
 EPOCHS, RATE, SCALE = 3, 0.5, 20.0
 #: Steps at most; a distance that is left is logged as a warning.
 STEPS = 30
@@ -40,30 +40,18 @@ SLOW = 0.1
 GROWN = 1.03
 
 
-class WordSlots(dict):
-    """word -> feature number; at most max_words are kept."""
+def slots_of(texts: pa.Array) -> list[np.ndarray]:
+    """Feature number of each word of each text; punctuation counts as part of the word."""
+    words = split_words(texts)
+    slots = (words.hashes >> np.uint64(64 - BITS)).astype(np.int32)
+    return [slots[a:b] for a, b in zip(words.ends[:-1], words.ends[1:], strict=True)]
 
-    max_words = 500_000
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.max_words:
-            self.clear()
-        self[word] = h = xxh64_intdigest(word.strip(b".,;:!?").lower()) >> (64 - BITS)
-        return h
-
-    def of(self, text: bytes) -> np.ndarray:
-        words = text.split()
-        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
-
-
-def fit(samples: list[tuple[np.ndarray, int]], domains: int) -> np.ndarray:
-    """(features + intercept, domains) weights, by gradient steps with a rate of its own for each weight."""
+def fit(samples: list[tuple[np.ndarray, np.ndarray, int]], domains: int) -> np.ndarray:
+    """(features + intercept, domains) weights, by gradient steps with a rate of its own for each weight. samples: distinct features, their counts, domain."""
     w = np.zeros(((1 << BITS) + 1, domains), np.float64)
     g2 = np.full_like(w, 1e-3)
-    rows = []
-    for slots, y in samples:
-        at, n = np.unique(slots, return_counts=True)
-        rows.append((np.append(at, 1 << BITS), np.append(n * SCALE / max(1, len(slots)), 1.0), y))
+    rows = [(np.append(at, 1 << BITS), np.append(n * SCALE / max(1, n.sum()), 1.0), y) for at, n, y in samples]
     order = np.random.default_rng(5)
     for _ in range(EPOCHS):
         for k in order.permutation(len(rows)):
@@ -85,37 +73,32 @@ def train(spark: SparkSession, docs: DataFrame, labelled: DataFrame, domains: li
     at = docs.select(F.col(id).alias("_id"), text_bytes(text).alias("_t")).join(F.broadcast(chosen), "_id").select("_id", "_y", "_t")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots = WordSlots()
         for b in batches:
-            out = []
-            for t in b.column(2).to_pylist():
-                s = slots.of(t)
-                out.append((s if len(s) <= SAMPLE_WORDS else s[np.linspace(0, len(s) - 1, SAMPLE_WORDS).astype(int)]).astype("<u2").tobytes())
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(out, pa.binary())], ["i", "y", "s"])
+            out = [np.unique(s, return_counts=True) for s in slots_of(b.column(2))]
+            yield pa.record_batch([b.column(0), b.column(1), pa.array([s.astype("<u2").tobytes() for s, _ in out], pa.binary()), pa.array([n.astype("<u4").tobytes() for _, n in out], pa.binary())], ["i", "y", "s", "n"])
 
-    got = at.mapInArrow(features, f"i {docs.schema[id].dataType.simpleString()}, y string, s binary").toArrow().sort_by("i")
-    return fit([(np.frombuffer(s, "<u2").astype(np.int64), domains.index(y)) for y, s in zip(got.column(1).to_pylist(), got.column(2).to_pylist(), strict=True)], len(domains))
+    got = at.mapInArrow(features, f"i {docs.schema[id].dataType.simpleString()}, y string, s binary, n binary").toArrow().sort_by("i")
+    return fit([(np.frombuffer(s, "<u2").astype(np.int64), np.frombuffer(n, "<u4"), domains.index(y)) for y, s, n in zip(*(got.column(k).to_pylist() for k in (1, 2, 3)), strict=True)], len(domains))
 
 
 def memberships(spark: SparkSession, docs: DataFrame, weights: np.ndarray, text: str = "text") -> DataFrame:
     """docs with __tokens (words) and __p (posterior of each domain)."""
-    sent, keep, n = spark.sparkContext.broadcast(weights.tobytes()), docs.columns, weights.shape[1]
+    sent, keep, n, at = spark.sparkContext.broadcast(weights.tobytes()), docs.columns, weights.shape[1], docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots, w = WordSlots(), np.frombuffer(sent.value, np.float32).reshape(-1, n)
+        w = np.frombuffer(sent.value, np.float32).reshape(-1, n)
         for b in batches:
             tokens, scores = [], np.empty((b.num_rows, n))
-            for k, t in enumerate(b.column(b.num_columns - 1).to_pylist()):
-                s = slots.of(t)
+            for k, s in enumerate(slots_of(b.column(at))):
                 tokens.append(len(s))
                 scores[k] = w[-1] + (SCALE * w[s].mean(0) if len(s) else 0)
             p = np.exp(scores - scores.max(1, keepdims=True, initial=-1e9))
             p /= p.sum(1, keepdims=True)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * n, pa.int32()), pa.array(p.reshape(-1), pa.float64()))
-            yield pa.record_batch([*b.columns[:-1], pa.array(tokens, pa.int64()), lists], [*keep, "__tokens", "__p"])
+            yield pa.record_batch([*b.columns, pa.array(tokens, pa.int64()), lists], [*keep, "__tokens", "__p"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "__tokens long", "__p array<double>"])
-    return docs.select("*", text_bytes(text).alias("__text")).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def _rate(steps: list[list[float]], low: float, high: float):
@@ -181,6 +164,7 @@ def mix(spark: SparkSession, docs: DataFrame, labelled: DataFrame, targets: dict
     posteriors. No tokens at all: every rate is 1. An empty table: no rows.
     """
     domains = sorted(targets)
+    bounded_batches(spark)
     weights = train(spark, docs, labelled, domains, id, text, domain)
     # only what the steps need is written; texts stay where they are
     carried = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text"))
@@ -192,6 +176,7 @@ def mix(spark: SparkSession, docs: DataFrame, labelled: DataFrame, targets: dict
 def resampled(spark: SparkSession, docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id: str = "doc_id", text: str = "text", domain: str = "domain", high: float = math.inf) -> DataFrame:
     """The rows of docs, each once or more: floor(rate + u) times, u in [0, 1) hashed from id and text; rates are 1 or more, as high as targets ask."""
     domains = sorted(targets)
+    bounded_batches(spark)
     weights = train(spark, docs, labelled, domains, id, text, domain)
     columns = docs.columns
     soft = written(spark, memberships(spark, docs, weights, text), "memberships")

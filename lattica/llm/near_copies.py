@@ -21,10 +21,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from xxhash import xxh3_128_digest, xxh64_intdigest
+from xxhash import xxh3_128_digest
 
 from lattica.llm.common import dropped, text_bytes, written
 from lattica.llm.components import UnionFind, components
+from lattica.llm.words import bounded_batches, mixed, split_words
 
 #: N-grams in more prefixes than this come last in the order ...
 FREQUENT = 16
@@ -45,36 +46,22 @@ FLUSH = 2_000_000
 _A = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * _A[0]
-    return x ^ (x >> np.uint64(29))
+class Shingler:
+    """Sets of n-grams and their prefixes."""
 
-
-class Shingler(dict):
-    """Sets of n-grams; as a dict: word -> 64-bit hash, at most max_words."""
-
-    def __init__(self, words: int, percent: int, frequent: np.ndarray | None = None, max_words: int = 1_000_000):
-        super().__init__()
-        self.words, self.percent, self.max_words = words, percent, max_words
+    def __init__(self, words: int, percent: int, frequent: np.ndarray | None = None):
+        self.words, self.percent = words, percent
         self.frequent = frequent if frequent is not None and len(frequent) else None
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.max_words:
-            self.clear()
-        self[word] = h = xxh64_intdigest(word)
-        return h
-
-    def shingles(self, text: bytes) -> np.ndarray:
-        """Sorted distinct n-gram hashes; a text of fewer words is one n-gram, one without words none."""
-        words = text.lower().split()
-        if not words:
+    def shingles(self, h: np.ndarray) -> np.ndarray:
+        """Sorted distinct n-gram hashes of a text's word hashes; fewer words are one n-gram, no words none."""
+        if not len(h):
             return np.empty(0, np.uint64)
-        h = np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
         k = min(self.words, len(h))
         x = h[: len(h) - k + 1] + np.uint64(k)
         for j in range(1, k):
-            x = _mixed(x * _A[1] + h[j : len(h) - k + 1 + j])
-        return np.unique(_mixed(x))
+            x = mixed(x * _A[1] + h[j : len(h) - k + 1 + j])
+        return np.unique(mixed(x))
 
     def prefix(self, s: np.ndarray) -> tuple[np.ndarray, int]:
         """The set's prefix, and at which place its frequent n-grams begin."""
@@ -102,11 +89,11 @@ def frequent_grams(spark: SparkSession, docs: DataFrame, words: int, percent: in
             return pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["part", "grams", "counts"])
 
         for b in batches:
-            for t in b.column(0).to_pylist():
-                if (d := xxh3_128_digest(t)) in seen:  # a copy in the same task
+            for h in split_words(b.column(0)):
+                if (d := xxh3_128_digest(h.tobytes())) in seen:  # a copy in the same task
                     continue
                 seen.add(d)
-                held.append(shingler.prefix(shingler.shingles(t))[0])
+                held.append(shingler.prefix(shingler.shingles(h))[0])
                 n += len(held[-1])
                 if n > FLUSH:
                     yield out()
@@ -147,8 +134,8 @@ def prefixes(spark: SparkSession, docs: DataFrame, words: int, percent: int, sen
         shingler = Shingler(words, percent, np.frombuffer(sent.value, np.uint64))
         for b in batches:
             rows = []
-            for t in b.column(1).to_pylist():
-                s = shingler.shingles(t)
+            for h in split_words(b.column(1)):
+                s = shingler.shingles(h)
                 p, rare = shingler.prefix(s)
                 rows.append((len(s), *_two(s), rare, p.view(np.int64), *_two(p)))
             c = list(zip(*rows, strict=True)) or [[]] * 7
@@ -384,11 +371,11 @@ def whole_sets(spark: SparkSession, docs: DataFrame, need: DataFrame, words: int
         for b in batches:
             slots = b.column(2).to_numpy()
             keep = np.flatnonzero((on[slots >> 6] >> (slots & 63).astype(np.uint64)) & np.uint64(1))
-            ids, texts, rows = b.column(0).to_pylist(), b.column(1), []
-            for i in keep.tolist():
-                s = shingler.shingles(texts[i].as_py())
+            chosen, rows = b.take(pa.array(keep)), []
+            for id, h in zip(chosen.column(0).to_pylist(), split_words(chosen.column(1)), strict=True):
+                s = shingler.shingles(h)
                 if len(s):
-                    rows.append((ids[i], *_two(s), shingler.prefix(s)[0].tobytes(), s.tobytes()))
+                    rows.append((id, *_two(s), shingler.prefix(s)[0].tobytes(), s.tobytes()))
             c = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.record_batch([*(pa.array(x, pa.int64()) for x in c[:3]), *(pa.array(x, pa.binary()) for x in c[3:])], ["cid", "s1", "s2", "prefix", "grams"])
 
@@ -405,6 +392,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, id: str = "doc_id", text:
     rows of one id with other texts count as one document that links what either links. A row without an id is in the
     component of equal texts (null if none of these has an id). An empty table: no rows.
     """
+    bounded_batches(spark)
     rows = docs.select(F.col(id).cast("long").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     sent = spark.sparkContext.broadcast(frequent_grams(spark, rows, words, percent, frequent).tobytes())
     sets = written(spark, prefixes(spark, rows, words, percent, sent), "prefixes")

@@ -17,13 +17,12 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from lattica.llm.common import held_out, text_bytes
+from lattica.llm.words import bounded_batches, text_buffers
 
 BITS = 20
 DIMENSIONS = 1 << BITS
-#: Labelled rows that the fit takes at most.
+#: Labelled rows that the fit takes at most, each with all its n-grams.
 SAMPLE = 5_000
-#: N-grams of a sampled text that reach the fit (evenly spaced ones of a longer text); scoring takes all.
-FIT_GRAMS = 600
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 1e-4, 1e-3
 THRESHOLD = 0.3
@@ -36,7 +35,7 @@ _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 class WordCodes(dict):
     """word -> 56 bits of its lower-case hash, then 8 bits of its shape. At most max_words are kept."""
 
-    max_words = 500_000
+    max_words = 120_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.max_words:
@@ -72,20 +71,27 @@ def dot(weights: np.ndarray, blocks: list[np.ndarray]) -> float:
     return float(weights[0] + sum(SCALE * weights[b].mean() for b in blocks if len(b)))
 
 
-def fit(samples: Sequence[tuple[list[np.ndarray], int]], epochs: int = EPOCHS) -> np.ndarray:
-    """Weights by FTRL-proximal. Feature 0 also is the intercept. No samples: all weights are 0.
+def vector(blocks: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(feature numbers, values) of a text, whole; feature 0 also is the intercept."""
+    i = np.concatenate([*blocks, [0]])
+    v = np.concatenate([*(np.full(len(b), SCALE / max(1, len(b))) for b in blocks), [1.0]])
+    at, back = np.unique(i, return_inverse=True)
+    return at.astype(np.int32), np.bincount(back, v, len(at)).astype(np.float32)
 
-    Sparse vectors are made as they are needed, so only the n-gram numbers of the sample are held.
-    """
+
+def texts_of(column: pa.Array) -> Iterator[bytes]:
+    """The texts one by one, in UTF-8; null counts as empty."""
+    data, ends = text_buffers(column)
+    return (data[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True))
+
+
+def fit(samples: Sequence[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS) -> np.ndarray:
+    """Weights by FTRL-proximal of (feature numbers, values, label). No samples: all weights are 0."""
     z, n = np.zeros(DIMENSIONS, np.float32), np.zeros(DIMENSIONS, np.float32)
     order = np.random.default_rng(7)
     for _ in range(epochs):
         for k in order.permutation(len(samples)):
-            blocks, y = samples[k]
-            i = np.concatenate([*blocks, [0]])
-            v = np.concatenate([*(np.full(len(b), SCALE / max(1, len(b))) for b in blocks), [1.0]])
-            at, back = np.unique(i, return_inverse=True)
-            x = np.bincount(back, v, len(at))
+            at, x, y = samples[k]
             zi, ni = z[at].astype(np.float64), n[at].astype(np.float64)
             w = np.where(np.abs(zi) <= L1, 0.0, -(zi - np.sign(zi) * L1) / ((BETA + np.sqrt(ni)) / ALPHA + L2))
             p = 1 / (1 + np.exp(-np.clip(w @ x, -35, 35)))
@@ -97,20 +103,16 @@ def fit(samples: Sequence[tuple[list[np.ndarray], int]], epochs: int = EPOCHS) -
 
 
 class _Samples:
-    """Rows of an Arrow table (y, then a block's numbers in each column) as samples."""
+    """Rows of an Arrow table (y, feature numbers, values) as samples."""
 
     def __init__(self, rows: pa.Table):
-        self.y, self.blocks = rows.column("y").to_pylist(), [rows.column(c).combine_chunks() for c in "abc"]
+        self.y, self.at, self.x = rows.column("y").to_pylist(), rows.column("at").combine_chunks(), rows.column("x").combine_chunks()
 
     def __len__(self) -> int:
         return len(self.y)
 
-    def __getitem__(self, k: int) -> tuple[list[np.ndarray], int]:
-        return [np.frombuffer(c[int(k)].as_buffer(), np.int32) for c in self.blocks], self.y[int(k)]
-
-
-def _thin(b: np.ndarray) -> np.ndarray:
-    return b if len(b) <= FIT_GRAMS else b[np.linspace(0, len(b) - 1, FIT_GRAMS).astype(int)]
+    def __getitem__(self, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+        return np.frombuffer(self.at[int(k)].as_buffer(), np.int32), np.frombuffer(self.x[int(k)].as_buffer(), np.float32), self.y[int(k)]
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality", remainder: int = 0, sample: int = SAMPLE) -> np.ndarray:
@@ -118,6 +120,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, id: str = "do
 
     Of repeated labels for one id the smallest counts.
     """
+    bounded_batches(spark)
     rows = labels.filter(F.col(label).isNotNull() & F.col(id).isNotNull() & ~held_out(id, remainder)).groupBy(F.col(id).alias("_id")).agg(F.min(label).alias("_y"))
     chosen = rows.orderBy(F.xxhash64("_id"), "_id").limit(sample)
     at = docs.select(F.col(id).alias("_id"), text_bytes(text).alias("_t")).join(F.broadcast(chosen), "_id").select("_id", "_y", "_t")
@@ -125,27 +128,27 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, id: str = "do
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = WordCodes()
         for b in batches:
-            blocks = [[_thin(g).astype(np.int32).tobytes() for g in grams(codes, t)] for t in b.column(2).to_pylist()]
-            yield pa.record_batch([b.column(0), b.column(1).cast(pa.int32()), *(pa.array([x[k] for x in blocks], pa.binary()) for k in range(3))], ["i", "y", "a", "b", "c"])
+            rows = [vector(grams(codes, t)) for t in texts_of(b.column(2))]
+            yield pa.record_batch([b.column(0), b.column(1).cast(pa.int32()), *(pa.array([x[k].tobytes() for x in rows], pa.binary()) for k in range(2))], ["i", "y", "at", "x"])
 
     kind = docs.schema[id].dataType.simpleString()
-    got = at.mapInArrow(features, f"i {kind}, y int, a binary, b binary, c binary").toArrow().sort_by("i")
+    got = at.mapInArrow(features, f"i {kind}, y int, at binary, x binary").toArrow().sort_by("i")
     return fit(_Samples(got))
 
 
 def scored(spark: SparkSession, docs: DataFrame, weights: np.ndarray, text: str = "text", score: str = "score") -> DataFrame:
     """docs with a column score: the probability of label 1, for every whole text."""
     sent = spark.sparkContext.broadcast(weights.tobytes())
-    keep = docs.columns
+    keep, at = docs.columns, docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, w = WordCodes(), np.frombuffer(sent.value, np.float32)
         for b in batches:
-            s = np.array([dot(w, grams(codes, t)) for t in b.column(b.num_columns - 1).to_pylist()])
-            yield pa.record_batch([*b.columns[:-1], pa.array(1 / (1 + np.exp(-np.clip(s, -35, 35))), pa.float64())], [*keep, score])
+            s = np.array([dot(w, grams(codes, t)) for t in texts_of(b.column(at))])
+            yield pa.record_batch([*b.columns, pa.array(1 / (1 + np.exp(-np.clip(s, -35, 35))), pa.float64())], [*keep, score])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{score}` double"])
-    return docs.select("*", text_bytes(text).alias("__text")).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality", remainder: int = 0, threshold: float = THRESHOLD) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lattica.llm import wordstats
 from lattica.llm.common import text_bytes, written
+from lattica.llm.words import bounded_batches
 
 
 def piece_counts(vocabulary: DataFrame, tokenizer: str | None = None) -> DataFrame:
@@ -37,6 +38,7 @@ def count_tokens(spark: SparkSession, docs: DataFrame, id: str = "doc_id", text:
     Null and empty texts: 0 bytes, 0 tokens. Repeated rows and null ids: a row for each. An empty table: no rows.
     Other columns are ignored, whatever their names.
     """
+    bounded_batches(spark)
     docs = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text"))
     vocabulary = written(spark, piece_counts(wordstats.word_counts(docs, "_text"), tokenizer), "pieces")
     carried = docs.withColumn("_bytes", F.length(text_bytes("_text")).cast("long"))
