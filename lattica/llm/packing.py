@@ -1,10 +1,13 @@
 """Best-fit packing by a grouping genetic algorithm.
 
 Pieces are dealt to blocks of about BLOCK pieces; every block is a packing problem of its own. Each block is evolved on
-ISLANDS islands (tasks with other seeds): crossover injects whole well-filled bins of one parent into another, bins
-that hold a duplicate are dissolved, and the displaced pieces are put back best fit first. Each island sends its elite
+ISLANDS islands (tasks with other seeds) for GENERATIONS generations: crossover injects whole well-filled bins of one parent into another,
+bins that hold a duplicate are dissolved, and the displaced pieces are put back best fit first. Each island sends its elite
 to the block's last round, where elites are crossed again. Pieces in poorly filled bins then leave
 their blocks and are packed together, a group of blocks at a time, so the loss is not paid once for each block.
+
+Best fit by falling size (the first of each pool) often needs as few bins as can be in its block; what evolves then is the mean squared fill: it
+gathers the free room in few bins, whose pieces are all that leaves the block.
 """
 
 from __future__ import annotations
@@ -14,18 +17,20 @@ import random
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm.common import text_bytes, written
+from lattica.llm.words import bounded_batches
 
 SEQUENCE = 4096
 BLOCK = 2048
 ISLANDS = 2
 POPULATION = 4
-OFFSPRING = 8
+#: Crossovers of an island, and of each round after it.
+GENERATIONS = 10
 #: Blocks whose poorly filled bins are packed together.
 MERGED = 32
 #: A bin is well filled from this share of the sequence on.
@@ -37,7 +42,7 @@ Bins = list[list[int]]
 def best_fit(sizes, items: list[int], capacity: int, bins: Bins | None = None) -> Bins:
     """Puts items, in the order given, into the fullest bin that holds them; bins: those already open."""
     bins = bins if bins is not None else []
-    room = sorted((capacity - sum(sizes[i] for i in b), k) for k, b in enumerate(bins))
+    room = sorted((left, k) for k, b in enumerate(bins) if (left := capacity - sum([sizes[i] for i in b])))
     for i in items:
         at = bisect_left(room, (sizes[i], -1))
         if at < len(room):
@@ -53,14 +58,13 @@ def best_fit(sizes, items: list[int], capacity: int, bins: Bins | None = None) -
 
 def fitness(sizes, bins: Bins, capacity: int) -> float:
     """Mean squared fill: few bins, and those full."""
-    return sum((sum(sizes[i] for i in b) / capacity) ** 2 for b in bins) / max(1, len(bins))
+    return sum([sum([sizes[i] for i in b]) ** 2 for b in bins]) / (capacity * capacity * max(1, len(bins)))
 
 
 def crossover(sizes, a: Bins, b: Bins, capacity: int, rng: random.Random) -> Bins:
     """Injects well-filled bins of b into a; bins of a that hold one of their pieces dissolve and their rest is put back."""
-    full = sorted(b, key=lambda x: -sum(sizes[i] for i in x))
-    take = rng.randint(1, max(1, len(full) // 2))
-    injected = rng.sample(full[: max(1, len(full) * 3 // 4)], min(take, max(1, len(full) * 3 // 4)))
+    full = sorted(b, key=lambda x: -sum([sizes[i] for i in x]))
+    injected = rng.sample(full[: max(1, len(full) * 3 // 4)], rng.randint(1, max(1, len(full) // 8)))
     there = {i for x in injected for i in x}
     kept, displaced = [], []
     for x in a:
@@ -68,7 +72,7 @@ def crossover(sizes, a: Bins, b: Bins, capacity: int, rng: random.Random) -> Bin
             kept.append(list(x))
         else:
             displaced += [i for i in x if i not in there]
-    kept.sort(key=lambda x: sum(sizes[i] for i in x))
+    kept.sort(key=lambda x: sum([sizes[i] for i in x]))
     for x in kept[: max(1, len(kept) // 16)]:  # the emptiest bins are put back as well
         displaced += x
     kept = kept[max(1, len(kept) // 16) :]
@@ -81,21 +85,32 @@ def start(sizes, capacity: int, rng: random.Random, jitter: float) -> Bins:
     return best_fit(sizes, order, capacity)
 
 
-def evolve(sizes, capacity: int, seed: int, first: list[Bins] | None = None, offspring: int = OFFSPRING) -> Bins:
-    """The best packing found; it ends early where no packing can have fewer bins."""
+def evolve(sizes, capacity: int, seed: int, first: list[Bins] | None = None, generations: int = GENERATIONS) -> tuple[Bins, int]:
+    """(the best packing found, bins of the greedy one that the pool starts with): the fewest bins, then the greatest mean squared fill."""
     rng = random.Random(seed)
-    least = math.ceil(sum(sizes) / capacity)
-    pool = [*(first or []), start(sizes, capacity, rng, 0.0)]
-    if min(map(len, pool)) > least:
-        pool += [start(sizes, capacity, rng, 0.1) for _ in range(POPULATION - 1)]
+    greedy = start(sizes, capacity, rng, 0.0)
+    pool = [*(first or []), greedy]
+    pool += [start(sizes, capacity, rng, 0.1) for _ in range(POPULATION - len(pool))]
     rank = lambda x: (len(x), -fitness(sizes, x, capacity))
-    pool.sort(key=rank)
-    for _ in range(offspring):
-        if len(pool[0]) <= least or len(pool) < 2:
-            break
-        a, b = rng.sample(pool, 2)
-        pool = sorted([*pool, crossover(sizes, a, b, capacity, rng)], key=rank)[:POPULATION]
-    return pool[0]
+    ranked = sorted(((rank(x), k, x) for k, x in enumerate(pool)), key=lambda y: y[:2])[:POPULATION]
+    for g in range(generations if len(sizes) > 1 else 0):
+        a, b = rng.sample(range(len(ranked)), 2)
+        child = crossover(sizes, ranked[a][2], ranked[b][2], capacity, rng)
+        ranked = sorted([*ranked, (rank(child), len(pool) + g, child)], key=lambda y: y[:2])[:POPULATION]
+    return ranked[0][2], len(greedy)
+
+
+def numbers_of(bins: Bins, n: int) -> np.ndarray:
+    """The bin of each piece."""
+    out = np.zeros(n, np.int64)
+    for k, b in enumerate(bins):
+        out[b] = k
+    return out
+
+
+def bins_of(numbers: np.ndarray) -> Bins:
+    order = np.argsort(numbers, kind="stable")
+    return [x.tolist() for x in np.split(order, np.flatnonzero(np.diff(numbers[order])) + 1)] if len(numbers) else []
 
 
 def pieces(docs: DataFrame, id: str, text: str, capacity: int = SEQUENCE, tokenizer: str | None = None, end_id: int = 1) -> DataFrame:
@@ -106,11 +121,11 @@ def pieces(docs: DataFrame, id: str, text: str, capacity: int = SEQUENCE, tokeni
 
         from lattica.llm.wordbpe import word_ids
 
-        encode, end, step = word_ids(tokenizer).encode, end_id.to_bytes(4, "little"), capacity * 4
+        words, end, step = word_ids(tokenizer), np.array([end_id], "<u4"), capacity * 4
         for b in batches:
             rows = []
-            for id, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = encode(t) + end
+            for id, own in zip(b.column(0).to_pylist(), words.encode(b.column(1)), strict=True):
+                ids = np.concatenate([own, end]).astype("<u4").tobytes()
                 if len(ids) <= step:
                     rows.append((id, 0, 0, len(ids) // 4, crc32(ids)))
                 else:
@@ -123,74 +138,66 @@ def pieces(docs: DataFrame, id: str, text: str, capacity: int = SEQUENCE, tokeni
 
 
 def pack_pieces(spark: SparkSession, cut: DataFrame, capacity: int = SEQUENCE, block: int = BLOCK) -> DataFrame:
-    """cut (written; with a column length) and _row, sequence_id, offset."""
+    """cut (with a column length) and sequence_id, offset; generations and greedy_bins: the crossovers that the piece's problem went through, and
+    the bins that best fit by falling size alone made of it."""
     cut = written(spark, cut.withColumn("_row", F.monotonically_increasing_id()), "cut")
     blocks = max(1, math.ceil(cut.count() / block))
     placed = cut.select("_row", "length", F.pmod(F.xxhash64("_row"), F.lit(blocks)).alias("block"))
     on_islands = placed.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))))
+    after = GENERATIONS * (ISLANDS + 1)
 
     def island(key, rows):
-        rows = rows.sort_values(["length", "_row"])
-        sizes = rows["length"].tolist()
-        bins = evolve(sizes, capacity, seed=int(key[0]) * 101 + int(key[1]))
-        at = [0] * len(sizes)
-        for k, b in enumerate(bins):
-            for i in b:
-                at[i] = k
-        return pd.DataFrame({"_row": rows["_row"], "length": rows["length"], "block": key[0], "island": key[1], "bin": at})
+        rows = rows.sort_by([("length", "ascending"), ("_row", "ascending")])
+        sizes = rows.column("length").to_pylist()
+        bins, _ = evolve(sizes, capacity, seed=key[0].as_py() * 101 + key[1].as_py())
+        return rows.append_column("bin", pa.array(numbers_of(bins, len(sizes))))
 
-    elites = on_islands.groupBy("block", "island").applyInPandas(island, "_row long, length long, block long, island int, bin long")
+    elites = on_islands.groupBy("block", "island").applyInArrow(island, "_row long, length long, block long, island int, bin long")
 
     def settle(key, rows):
-        rows = rows.sort_values(["length", "_row", "island"])
-        one = rows[rows["island"] == 0]
-        sizes = one["length"].tolist()
-        migrants: list[Bins] = []
-        for _, mine in rows.groupby("island", sort=True):
-            bins: dict[int, list[int]] = {}
-            for i, k in enumerate(mine["bin"].tolist()):
-                bins.setdefault(k, []).append(i)
-            migrants.append(list(bins.values()))
-        bins = evolve(sizes, capacity, seed=int(key[0]) * 101 + 77, first=migrants)
-        at, well = [0] * len(sizes), [False] * len(sizes)
-        for k, b in enumerate(bins):
-            good = sum(sizes[i] for i in b) >= WELL * capacity
-            for i in b:
-                at[i], well[i] = k, good
-        return pd.DataFrame({"_row": one["_row"], "length": one["length"], "block": key[0], "bin": at, "well": well})
-
-    settled = written(spark, elites.groupBy("block").applyInPandas(settle, "_row long, length long, block long, bin long, well boolean"), "settled")
-
-    def numbered(rows: pd.DataFrame, first: int) -> pd.DataFrame:
-        rows = rows.sort_values(["bin", "_row"])
-        offset = rows.groupby("bin")["length"].cumsum() - rows["length"]
-        return pd.DataFrame({"_row": rows["_row"], "sequence_id": rows["bin"] + first, "offset": offset})
+        rows = rows.sort_by([("island", "ascending"), ("length", "ascending"), ("_row", "ascending")])
+        n = len(rows) // ISLANDS
+        one = rows.slice(0, n)
+        sizes, at = one.column("length").to_pylist(), rows.column("bin").to_numpy()
+        bins, greedy = evolve(sizes, capacity, seed=key[0].as_py() * 101 + 77, first=[bins_of(at[k * n : (k + 1) * n]) for k in range(ISLANDS)])
+        at = numbers_of(bins, n)
+        well = np.bincount(at, sizes, len(bins))[at] >= WELL * capacity
+        return pa.table({"_row": one.column("_row"), "length": one.column("length"), "block": one.column("block"), "bin": pa.array(at), "well": pa.array(well), "greedy": pa.array([greedy] * n, pa.int64())})
+
+    settled = written(spark, elites.groupBy("block").applyInArrow(settle, "_row long, length long, block long, bin long, well boolean, greedy long"), "settled")
+
+    def numbered(rows: pa.Table, at: np.ndarray, first: int, generations: int, greedy) -> pa.Table:
+        row, length = rows.column("_row").to_numpy(), rows.column("length").to_numpy()
+        order = np.lexsort((row, at))
+        offset = np.cumsum(length[order]) - length[order]
+        begins = np.concatenate([[True], np.diff(at[order]) != 0])
+        offset -= offset[np.flatnonzero(begins)][np.cumsum(begins) - 1]
+        n = len(rows)
+        return pa.table({"_row": row[order], "sequence_id": at[order] + first, "offset": offset, "generations": np.full(n, generations, np.int32), "greedy_bins": np.full(n, greedy, np.int64)})
 
     def done(key, rows):
-        return numbered(rows, int(key[0]) << 20)
+        return numbered(rows, rows.column("bin").to_numpy(), key[0].as_py() << 20, after, rows.column("greedy")[0].as_py())
 
     def merged(key, rows):
-        rows = rows.sort_values(["length", "_row"]).reset_index(drop=True)
-        sizes = rows["length"].tolist()
-        old: dict = {}
-        for i, k in enumerate(zip(rows["block"].tolist(), rows["bin"].tolist(), strict=True)):
-            old.setdefault(k, []).append(i)
-        bins = evolve(sizes, capacity, seed=int(key[0]) * 101 + 55, first=[list(old.values())])
-        for k, b in enumerate(bins):
-            rows.loc[b, "bin"] = k
-        return numbered(rows, (1 << 60) + (int(key[0]) << 24))
-
-    out = "_row long, sequence_id long, offset long"
-    good = settled.filter("well").groupBy("block").applyInPandas(done, out)
-    rest = settled.filter("not well").withColumn("group", F.floor(F.col("block") / MERGED)).groupBy("group").applyInPandas(merged, out)
+        rows = rows.sort_by([("length", "ascending"), ("_row", "ascending")])
+        sizes = rows.column("length").to_pylist()
+        old = np.unique(rows.column("block").to_numpy() << 24 | rows.column("bin").to_numpy(), return_inverse=True)[1]
+        bins, greedy = evolve(sizes, capacity, seed=key[0].as_py() * 101 + 55, first=[bins_of(old)])
+        return numbered(rows, numbers_of(bins, len(sizes)), (1 << 60) + (key[0].as_py() << 24), after + GENERATIONS, greedy)
+
+    out = "_row long, sequence_id long, offset long, generations int, greedy_bins long"
+    good = settled.filter("well").groupBy("block").applyInArrow(done, out)
+    rest = settled.filter("not well").withColumn("group", F.floor(F.col("block") / MERGED)).groupBy("group").applyInArrow(merged, out)
     return cut.join(good.unionByName(rest), "_row").drop("_row")
 
 
 def pack(spark: SparkSession, docs: DataFrame, id: str = "doc_id", text: str = "text", capacity: int = SEQUENCE, tokenizer: str | None = None, block: int = BLOCK) -> DataFrame:
-    """One row for each piece: id, piece, start, length, ids_crc32, sequence_id, offset.
+    """One row for each piece: id, piece, start, length, ids_crc32, sequence_id, offset, generations, greedy_bins.
 
-    A null or empty text is the end id alone. Repeated rows are packed each. An empty table: no rows. Pieces of equal
-    length are told apart by row, so ties don't matter. A sequence holds at most capacity ids, without gaps from 0.
+    A null or empty text is the end id alone. Repeated rows and rows with null ids are packed each. An empty table: no rows. Pieces of equal
+    length are told apart by row, so ties don't matter. A sequence holds at most capacity ids, without gaps from 0. Other columns are
+    ignored, whatever their names.
     """
+    bounded_batches(spark)
     out = pack_pieces(spark, pieces(docs, id, text, capacity, tokenizer), capacity, block)
-    return out.select(F.col("_id").alias(id), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return out.select(F.col("_id").alias(id), "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "generations", "greedy_bins")
