@@ -7,16 +7,35 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.operators.recursion import closure, reverse
+from lattica.operators.recursion import closure, kept, reverse
 
 
 def fingerprints(nodes: DataFrame) -> DataFrame:
-    """(node, fp): hash of the object's own fields and of its children's, whatever their order; leaves up, one join for each level."""
-    own = nodes.withColumn("_own", F.xxhash64("name", "obj_type", "def"))
-    grand = own.groupBy(F.col("parent").alias("node")).agg(F.bit_xor("_own").alias("_children"))
-    one = own.join(grand, "node", "left").select("node", "parent", F.xxhash64("_own", F.coalesce("_children", F.lit(0))).alias("_fp"))
-    deep = one.groupBy(F.col("parent").alias("node")).agg(F.bit_xor("_fp").alias("_children"))
-    return one.join(deep, "node", "left").select("node", F.xxhash64("_fp", F.coalesce("_children", F.lit(0))).alias("fp"))
+    """(node, fp): hash of the object's own fields and of its children's, whatever their order; from the deepest level up, one join for each.
+
+    A node whose parent is null or isn't there is a root. Children are summed, so equal ones don't cancel. Parents in a circle are an error.
+    """
+    own = kept(nodes.select("node", "parent", F.xxhash64("name", "obj_type", "def").alias("_own")))
+    known = own.select(F.col("node").alias("parent"))
+    levels, n = [kept(own.join(known, "parent", "left_anti").select("node", "parent", "_own"))], own.count()
+    n -= levels[0].count()
+    while n:
+        above = levels[-1].select(F.col("node").alias("parent"))
+        levels.append(kept(own.join(above, "parent").select("node", "parent", "_own")))
+        if not (more := levels[-1].count()):
+            raise ValueError(f"{n} objects are below no root: their parents form a circle")
+        n -= more
+    out, below = None, None
+    for depth, level in enumerate(reversed(levels), 1):
+        level = level.withColumn("_below", F.lit(None).cast("decimal(38,0)")) if below is None else level.join(below, "node", "left")
+        level = level.select("node", "parent", F.xxhash64("_own", F.coalesce(F.col("_below").cast("string"), F.lit(""))).alias("fp"))
+        if depth % 4 == 0:  # plans stay small
+            level = kept(level)
+        below = level.groupBy(F.col("parent").alias("node")).agg(F.sum(F.col("fp").cast("decimal(38,0)")).alias("_below"))
+        out = level if out is None else level.unionByName(out)
+        if depth % 8 == 0:
+            out = kept(out)
+    return out.select("node", "fp")
 
 
 def ordered_fingerprint(columns: DataFrame, ignore_order: bool = False) -> DataFrame:
@@ -51,6 +70,22 @@ def column_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.join(shared, "tbl", "left_semi").select("tbl", "name", side(F.col("old_type"), F.col("new_type")).alias("side"), "old_type", "new_type")
 
 
+def attribute_diff(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(tbl, name, attribute, old_value, new_value): columns of both snapshots whose type or place differs, a row for each attribute."""
+    values = lambda c, to: c.select("tbl", "name", F.explode(F.create_map(F.lit("type"), F.col("type"), F.lit("ordinal"), F.col("ordinal").cast("string"))).alias("attribute", to))
+    both = values(old, "old_value").join(values(new, "new_value"), ["tbl", "name", "attribute"])
+    return both.filter(~F.col("old_value").eqNullSafe(F.col("new_value")))
+
+
+def white_listed(nodes: DataFrame, schemas: list[str], patterns: list[str] = ()) -> DataFrame:
+    """Objects of the schemas that a white list names, or whose whole name one of its patterns matches; schemas themselves are told by their own name."""
+    schema = F.when(F.col("obj_type") == "SCHEMA", F.col("node")).otherwise(F.split("node", r"\.")[0])
+    wanted = schema.isin(list(schemas))
+    for p in patterns:
+        wanted = wanted | schema.rlike(f"^(?:{p})$")
+    return nodes.filter(wanted)
+
+
 def reverted(diff: DataFrame) -> DataFrame:
     return diff.withColumn("side", F.when(F.col("side") == "LEFT", "RIGHT").when(F.col("side") == "RIGHT", "LEFT").otherwise(F.col("side")))
 
@@ -78,14 +113,14 @@ def descendant_counts(nodes: DataFrame) -> DataFrame:
 
 # --- rules --------------------------------------------------------------------------------------------------------
 
-RULES = "ord int, pattern string, is_regex boolean, is_qualified boolean, types array<string>, is_show boolean, with_content boolean"
+RULES = "ord int, pattern string, is_regex boolean, is_qualified boolean, types array<string>, is_show boolean, with_content boolean, db string"
 
 
 def parse_rules(text: str) -> tuple[bool, list[tuple]]:
     """A rule list's text: (does it show what no rule names?, rows of RULES).
 
-    First line `SHOW ALL` or `HIDE ALL`; then `SHOW|HIDE [NONE|CONTENT|REGEX|QUALIFIED,...] name [type=A,B]`, a name in double
-    quotes where it holds blanks.
+    First line `SHOW ALL` or `HIDE ALL`; then `SHOW|HIDE [NONE|CONTENT|REGEX|QUALIFIED,...] name [db=pattern] [type=A,B]`, a name in double
+    or single quotes where it holds blanks. db: the rule counts only for databases whose whole name matches.
     """
     show_all, out = True, []
     for line in text.splitlines():
@@ -95,31 +130,38 @@ def parse_rules(text: str) -> tuple[bool, list[tuple]]:
         if m := re.fullmatch(r"(SHOW|HIDE)\s+ALL", line, re.I):
             show_all = m[1].upper() == "SHOW"
             continue
-        m = re.fullmatch(r'(SHOW|HIDE)\s+((?:(?:NONE|CONTENT|REGEX|QUALIFIED)(?:\s*,\s*|\s+))+)?(?:"((?:[^"]|"")*)"|(\S+))(?:\s+type=(\S+))?', line, re.I)
+        m = re.fullmatch(r'(SHOW|HIDE)\s+((?:(?:NONE|CONTENT|REGEX|QUALIFIED)(?:\s*,\s*|\s+))+)?(?:"((?:[^"]|"")*)"|\'((?:[^\']|\'\')*)\'|(\S+))(?:\s+db=(?:"([^"]*)"|\'([^\']*)\'|(\S+)))?(?:\s+type=(\S+))?', line, re.I)
         if not m:
             raise ValueError(f"not a rule: {line!r}")
         flags = {f.upper() for f in re.split(r"[\s,]+", m[2] or "") if f}
-        name = m[3].replace('""', '"') if m[3] is not None else m[4]
-        out.append((len(out), name, "REGEX" in flags, "QUALIFIED" in flags, [t.upper() for t in m[5].split(",")] if m[5] else None, m[1].upper() == "SHOW", "CONTENT" in flags))
+        name = m[3].replace('""', '"') if m[3] is not None else m[4].replace("\'\'", "\'") if m[4] is not None else m[5]
+        db = next((x for x in (m[6], m[7], m[8]) if x is not None), None)
+        out.append((len(out), name, "REGEX" in flags, "QUALIFIED" in flags, [t.upper() for t in m[9].split(",")] if m[9] else None, m[1].upper() == "SHOW", "CONTENT" in flags, db))
     return show_all, out
 
 
 def merged_rules(rules: DataFrame) -> DataFrame:
     """One rule for each (pattern, types): the one with content wins, at equal width hiding wins."""
-    w = Window.partitionBy("pattern", "is_regex", "is_qualified", "types").orderBy(F.desc("with_content"), "is_show", "ord")
+    w = Window.partitionBy("pattern", "is_regex", "is_qualified", "types", "db").orderBy(F.desc("with_content"), "is_show", "ord")
     return rules.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
-def rule_statuses(nodes: DataFrame, rules: DataFrame, show_all: bool) -> DataFrame:
+#: Rules are written by people: more than this many are joined without a broadcast.
+MOST_RULES = 10_000
+
+
+def rule_statuses(nodes: DataFrame, rules: DataFrame, show_all: bool, db: str | None = None) -> DataFrame:
     """(node, status): ADD or SKIP.
 
     Of the rules that match an object a subtree rule beats a plain one, and hiding beats showing at the same width. An object without a match
     follows the nearest ancestor with a subtree rule, else the list's default. Below a hidden subtree everything is skipped.
+    db: the database's name; rules for other databases don't count, and none that names one where db is None.
     """
+    rules = rules.filter(F.col("db").isNull() | (F.lit(db).rlike(F.concat(F.lit("^(?:"), F.col("db"), F.lit(")$"))) if db is not None else F.lit(False)))
     text = F.when(F.col("is_qualified"), F.col("node")).otherwise(F.col("name"))
     hit = F.when(F.col("is_regex"), F.expr("CASE WHEN is_qualified THEN node ELSE name END RLIKE pattern")).otherwise(text == F.col("pattern"))
     kind = F.col("types").isNull() | F.array_contains("types", F.col("obj_type"))
-    matched = nodes.join(F.broadcast(rules), hit & kind)  # rules are written by people; objects are not
+    matched = nodes.join(F.broadcast(rules) if rules.limit(MOST_RULES + 1).count() <= MOST_RULES else rules, hit & kind)
     rank = F.col("with_content").cast("int") * 2 + (~F.col("is_show")).cast("int")
     best = matched.groupBy("node").agg(F.max_by(F.struct("is_show", "with_content"), rank).alias("b")).select("node", "b.*")
     up = nodes.filter("parent IS NOT NULL").select(F.col("node").alias("src"), F.col("parent").alias("dst"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.catalog.model import kinds
-from lattica.operators.recursion import closure, reverse
+from lattica.operators.recursion import closure, levels, reverse
 
 #: Column type changes that keep the rows in place; any other change of a column recreates what depends on it.
 WIDENING = [("int", "bigint"), ("smallint", "int"), ("float", "double"), ("date", "timestamp")]
@@ -21,13 +21,13 @@ def states(diff: DataFrame, column_changes: DataFrame) -> DataFrame:
     return diff.join(typed, "node", "left").select("node", "obj_type", state.alias("state"))
 
 
-def recreated(plan: DataFrame, edges: DataFrame, nodes: DataFrame, most: int = 8) -> DataFrame:
+def recreated(plan: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """plan with views that depend on something dropped, recreated or altered with dependents turned into RECREATE, to the fixed point.
 
     The dependents of all starters are one closure, so the fixed point needs no loop over actions.
     """
     hard = plan.filter("state IN ('DROP', 'RECREATE', 'ALTER_WITH_DEP')").select(F.col("node").alias("src"))
-    hit = closure(reverse(edges), hard, most).select(F.col("dst").alias("node")).distinct()
+    hit = closure(reverse(edges), hard).select(F.col("dst").alias("node")).distinct()
     views = hit.join(nodes.filter("obj_type IN ('VIEW', 'CONSTRAINT', 'INDEX')").select("node", "obj_type"), "node")
     forced = views.join(plan.filter("state IN ('DROP', 'CREATE')").select("node"), "node", "left_anti").select("node", "obj_type", F.lit("RECREATE").alias("state"))
     return plan.join(forced.select("node"), "node", "left_anti").unionByName(forced)
@@ -35,12 +35,11 @@ def recreated(plan: DataFrame, edges: DataFrame, nodes: DataFrame, most: int = 8
 
 def ordered(plan: DataFrame, edges: DataFrame) -> DataFrame:
     """(seq, phase, node, obj_type, state): drops first, dependents before what they need and later kinds first; then creations and alters by kind and
-    level. A recreation is a drop and a creation. Order within equals is by name: (phase, level, rank of the kind, name)."""
+    level, the most edges to something that needs nothing. A recreation is a drop and a creation. Order within equals is by name: (phase, level, rank of the kind, name)."""
     spark = plan.sparkSession
     ranks = F.broadcast(kinds(spark))
-    levels = closure(edges).groupBy(F.col("src").alias("node")).agg(F.max("depth").alias("level"))
     steps = plan.withColumn("action", F.explode(F.when(F.col("state") == "RECREATE", F.array(F.lit("DROP"), F.lit("CREATE"))).otherwise(F.array("state"))))
-    steps = steps.join(levels, "node", "left").join(ranks, "obj_type", "left").na.fill({"level": 0, "ordinal": 99})
+    steps = steps.join(levels(edges), "node", "left").join(ranks, "obj_type", "left").na.fill({"level": 0, "ordinal": 99})
     drop = F.col("action") == "DROP"
     keys = [
         F.when(drop, 0).otherwise(1).alias("phase"), F.when(drop, -F.col("level")).otherwise(F.col("level")).alias("by_level"), F.when(drop, -F.col("ordinal")).otherwise(F.col("ordinal")).alias("by_kind"),

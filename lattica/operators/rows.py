@@ -102,7 +102,40 @@ def sum_excluding(df: DataFrame, column: str, by: Sequence[str], order: Sequence
     return df.withColumn(name, left)
 
 
-def sample_ratio(df: DataFrame, keys: Sequence[str], ratio: float, offset: float = 0.0, buckets: int = 10_000) -> DataFrame:
-    """SAMPLE ratio OFFSET offset: a fixed share of the keys' hash space, the same rows each time."""
-    b = F.pmod(F.xxhash64(*keys), F.lit(buckets))
-    return df.filter((b >= int(offset * buckets)) & (b < int((offset + ratio) * buckets)))
+def count_excluding(df: DataFrame, by: Sequence[str], order: Sequence[Column], exclude: str, name: str) -> DataFrame:
+    """count(*) over a whole partition, EXCLUDE CURRENT ROW, GROUP or TIES."""
+    return sum_excluding(df.withColumn("_one", F.lit(1).cast("long")), "_one", by, order, exclude, name).drop("_one")
+
+
+def avg_excluding(df: DataFrame, column: str, by: Sequence[str], order: Sequence[Column], exclude: str, name: str) -> DataFrame:
+    """avg(column) over a whole partition, EXCLUDE CURRENT ROW, GROUP or TIES; null where nothing is left."""
+    with_n = sum_excluding(df.withColumn("_there", F.col(column).isNotNull().cast("long")), "_there", by, order, exclude, "_n")
+    with_s = sum_excluding(with_n, column, by, order, exclude, "_s")
+    return with_s.withColumn(name, F.when(F.col("_n") > 0, F.col("_s") / F.col("_n"))).drop("_there", "_n", "_s")
+
+
+def star_apply(df: DataFrame, pattern: str, function) -> DataFrame:
+    """COLUMNS('pattern') APPLY(function): the function of every column whose name matches, under the column's name."""
+    import re
+
+    return df.select(*(function(F.col(c)).alias(c) for c in df.columns if re.search(pattern, c)))
+
+
+def formatted(df: DataFrame, kind: str) -> DataFrame:
+    """FORMAT kind: one text column `line`. TSV and CSV: fields joined, null as \\N, CSV texts in double quotes; JSONEachRow: an object a row."""
+    if kind == "JSONEachRow":
+        return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("line"))
+    quote = lambda c, t: F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"')) if kind == "CSV" and t == "string" else F.col(c).cast("string")
+    return df.select(F.concat_ws("," if kind == "CSV" else "\t", *(F.coalesce(quote(c, t), F.lit("\\N")) for c, t in df.dtypes)).alias("line"))
+
+
+def column_statistics(df: DataFrame) -> DataFrame:
+    """(name, rows, nulls, distinct_values, least, most) of every column, in one pass; least and most as text."""
+    cells = [F.struct(F.lit(c).alias("name"), F.count("*").alias("rows"), F.count_if(F.col(c).isNull()).alias("nulls"), F.count_distinct(c).alias("distinct_values"), F.min(c).cast("string").alias("least"), F.max(c).cast("string").alias("most")) for c in df.columns]
+    return df.agg(F.array(*cells).alias("s")).select(F.explode("s").alias("s")).select("s.*")
+
+
+def sample_ratio(df: DataFrame, keys: Sequence[str], ratio: float, offset: float = 0.0) -> DataFrame:
+    """SAMPLE ratio OFFSET offset: a fixed share of the keys' hash space (the first 32 bits of the MD5 of the keys' texts, joined by "|"), the same rows each time."""
+    b = F.conv(F.substring(F.md5(F.concat_ws("|", *(F.col(k).cast("string") for k in keys)).cast("binary")), 1, 8), 16, 10).cast("long")
+    return df.filter((b >= int(offset * (1 << 32))) & (b < int((offset + ratio) * (1 << 32))))

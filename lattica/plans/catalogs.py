@@ -36,6 +36,28 @@ def query(duck_text: str | None):
     return add
 
 
+_TREE = """, d AS (SELECT coalesce(a.tbl, b.tbl) AS tbl, coalesce(a.name, b.name) AS name, a.name IS NOT NULL AS l, b.name IS NOT NULL AS r,
+   a.type IS NOT DISTINCT FROM b.type AND a.ordinal IS NOT DISTINCT FROM b.ordinal AS same FROM old a FULL JOIN new b ON a.tbl = b.tbl AND a.name = b.name),
+ c AS (SELECT 'main.' || tbl || '.' || name AS node, 'main.' || tbl AS parent, 'COLUMN' AS obj_type, CASE WHEN l AND r THEN 'BOTH' WHEN l THEN 'LEFT' ELSE 'RIGHT' END AS side FROM d WHERE NOT (l AND r AND same)),
+ t AS (SELECT 'main.' || coalesce(a.tbl, b.tbl) AS node, 'main' AS parent, 'TABLE' AS obj_type, CASE WHEN b.tbl IS NULL THEN 'LEFT' WHEN a.tbl IS NULL THEN 'RIGHT' ELSE 'BOTH' END AS side
+   FROM (SELECT DISTINCT tbl FROM old) a FULL JOIN (SELECT DISTINCT tbl FROM new) b ON a.tbl = b.tbl),
+ tree AS (SELECT * FROM c UNION ALL SELECT * FROM t WHERE side <> 'BOTH' OR node IN (SELECT parent FROM c)
+ UNION ALL SELECT 'main.part_supply', 'main', 'VIEW', 'LEFT' UNION ALL SELECT 'main', NULL, 'SCHEMA', 'BOTH')"""
+# edges of both snapshots, the actions, and their order: by phase, level (the most edges to something that needs nothing), kind, name
+_PLAN = "WITH RECURSIVE " + _OLD + ", " + _NEW + ", " + _EDGES + _TREE + f""", en AS (SELECT * FROM e UNION SELECT 'main.' || tbl || '.' || name, 'main.' || tbl FROM new UNION SELECT 'main.' || tbl, 'main' FROM new),
+ lv AS (SELECT dst AS node, 0 AS level FROM en WHERE dst NOT IN (SELECT src FROM en) UNION SELECT en.src, lv.level + 1 FROM lv JOIN en ON en.dst = lv.node),
+ top AS (SELECT node, max(level) AS level FROM lv GROUP BY node),
+ st AS (SELECT node, obj_type, CASE WHEN side = 'LEFT' THEN 'DROP' WHEN side = 'RIGHT' THEN 'CREATE' WHEN node = 'main.orders.o_totalprice' THEN 'ALTER_WITH_DEP' WHEN obj_type = 'VIEW' THEN 'RECREATE' ELSE 'ALTER' END AS state FROM tree WHERE obj_type <> 'SCHEMA'),
+ up AS (SELECT DISTINCT node, CASE WHEN parent <> 'main' THEN parent ELSE node END AS top FROM (SELECT node, parent FROM n UNION SELECT 'main.' || tbl || '.' || name, 'main.' || tbl FROM new)),
+ al AS (SELECT * FROM en UNION SELECT coalesce(a.top, src), coalesce(b.top, dst) FROM en LEFT JOIN up a ON a.node = src LEFT JOIN up b ON b.node = dst WHERE coalesce(a.top, src) <> coalesce(b.top, dst)),
+ hit AS (SELECT al.src AS node FROM al JOIN st ON st.node = al.dst WHERE state IN ('DROP', 'RECREATE', 'ALTER_WITH_DEP') UNION SELECT al.src FROM hit JOIN al ON al.dst = hit.node),
+ forced AS (SELECT node, 'VIEW' AS obj_type, 'RECREATE' AS state FROM hit WHERE node IN (SELECT v FROM (VALUES {_VIEWS}) x(v, r)) AND node NOT IN (SELECT node FROM st WHERE state IN ('DROP', 'CREATE'))),
+ pl AS (SELECT * FROM st WHERE node NOT IN (SELECT node FROM forced) UNION ALL SELECT * FROM forced),
+ ac AS (SELECT node, obj_type, state AS action FROM pl WHERE state <> 'RECREATE' UNION ALL SELECT node, obj_type, 'DROP' FROM pl WHERE state = 'RECREATE' UNION ALL SELECT node, obj_type, 'CREATE' FROM pl WHERE state = 'RECREATE'),
+ ky AS (SELECT ac.*, CASE WHEN action = 'DROP' THEN 0 ELSE 1 END AS phase, CASE WHEN action = 'DROP' THEN -1 ELSE 1 END AS way, coalesce(level, 0) AS level, CASE obj_type WHEN 'TABLE' THEN {model.KINDS.index("TABLE")} WHEN 'COLUMN' THEN {model.KINDS.index("COLUMN")} ELSE {model.KINDS.index("VIEW")} END AS rank FROM ac LEFT JOIN top ON top.node = ac.node),
+ pn AS (SELECT row_number() OVER (ORDER BY phase, way * level, way * rank, node, action) AS seq, phase, node, obj_type, action FROM ky) """
+
+
 def _snapshots(spark: SparkSession, sf_dir: str):
     old = model.columns(spark, sf_dir)
     new = model.changed(old)
@@ -47,13 +69,7 @@ def catalog_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.columns(spark, sf_dir).select("tbl", "ordinal", "name")
 
 
-@query(_W + """, d AS (SELECT coalesce(a.tbl, b.tbl) AS tbl, coalesce(a.name, b.name) AS name, a.name IS NOT NULL AS l, b.name IS NOT NULL AS r,
-   a.type IS NOT DISTINCT FROM b.type AND a.ordinal IS NOT DISTINCT FROM b.ordinal AS same FROM old a FULL JOIN new b ON a.tbl = b.tbl AND a.name = b.name),
- c AS (SELECT 'main.' || tbl || '.' || name AS node, 'main.' || tbl AS parent, 'COLUMN' AS obj_type, CASE WHEN l AND r THEN 'BOTH' WHEN l THEN 'LEFT' ELSE 'RIGHT' END AS side FROM d WHERE NOT (l AND r AND same)),
- t AS (SELECT 'main.' || coalesce(a.tbl, b.tbl) AS node, 'main' AS parent, 'TABLE' AS obj_type, CASE WHEN b.tbl IS NULL THEN 'LEFT' WHEN a.tbl IS NULL THEN 'RIGHT' ELSE 'BOTH' END AS side
-   FROM (SELECT DISTINCT tbl FROM old) a FULL JOIN (SELECT DISTINCT tbl FROM new) b ON a.tbl = b.tbl)
- SELECT * FROM c UNION ALL SELECT * FROM t WHERE side <> 'BOTH' OR node IN (SELECT parent FROM c)
- UNION ALL SELECT 'main.part_supply', 'main', 'VIEW', 'LEFT' UNION ALL SELECT 'main', NULL, 'SCHEMA', 'BOTH'""")
+@query(_W + _TREE + " SELECT * FROM tree")
 def catalog_tree_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, _, old, new = _snapshots(spark, sf_dir)
     return diff.tree_diff(old, new)
@@ -75,6 +91,19 @@ def catalog_column_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.column_diff(old, new).select("tbl", "name", "side")
 
 
+@query(_W + "SELECT a.tbl, a.name, t.attribute FROM old a JOIN new b ON a.tbl = b.tbl AND a.name = b.name JOIN (VALUES ('type'), ('ordinal')) t(attribute) ON CASE attribute WHEN 'type' THEN a.type <> b.type ELSE a.ordinal <> b.ordinal END")
+def catalog_attribute_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old, new, _, _ = _snapshots(spark, sf_dir)
+    return diff.attribute_diff(old, new).select("tbl", "name", "attribute")
+
+
+@query("WITH " + _OLD + ", " + _EDGES + "SELECT node FROM n UNION SELECT 'main'")
+def catalog_white_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = model.nodes(model.columns(spark, sf_dir))
+    other = spark.createDataFrame([("audit", None, "SCHEMA", "audit", ""), ("audit.log", "audit", "TABLE", "log", "")], nodes.schema)
+    return diff.white_listed(nodes.unionByName(other), [], ["ma.n"]).select("node")
+
+
 @query(_W + "SELECT DISTINCT 'main.' || tbl AS node FROM (" + _COLDIFF + ")")
 def catalog_changed_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new, a, b = _snapshots(spark, sf_dir)
@@ -131,7 +160,8 @@ SHOW o_orderkey
 HIDE REGEX ".*_acctbal"
 HIDE REGEX,QUALIFIED main\\.part\\..* type=COLUMN
 SHOW p_name
-HIDE p_name type=COLUMN
+HIDE 'p_name' type=COLUMN
+HIDE region db=other.* type=TABLE
 """
 
 
@@ -141,7 +171,8 @@ def catalog_rule_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.rule_statuses(model.nodes(model.columns(spark, sf_dir)), diff.merged_rules(spark.createDataFrame(rules, diff.RULES)), show_all)
 
 
-@query(None)
+@query(_PLAN + """, need AS (SELECT 'main.returns.ret_id' AS node UNION SELECT en.dst FROM need JOIN en ON en.src = need.node), users AS (SELECT 'main.part.p_size' AS node UNION SELECT e.src FROM users JOIN e ON e.dst = users.node)
+ SELECT node FROM (SELECT node FROM need UNION SELECT node FROM users) WHERE node IN (SELECT node FROM tree)""")
 def catalog_extended_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, _, a, b = _snapshots(spark, sf_dir)
     picked = spark.createDataFrame([("main.returns.ret_id",), ("main.part.p_size",)], "node string")
@@ -159,12 +190,12 @@ def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.ordered(kept(plan.recreated(states, every, both)), edges)
 
 
-@query(None)
+@query(_PLAN + "SELECT * FROM pn")
 def catalog_migration_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plan(spark, sf_dir)
 
 
-@query(None)
+@query(_PLAN + ", sc AS (SELECT phase, min(seq) AS seq, sql FROM (SELECT phase, seq, CASE WHEN action LIKE 'ALTER%' THEN 'ALTER' ELSE action END || ' ' || obj_type || ' ' || node AS sql FROM pn) GROUP BY phase, sql) SELECT phase, CAST(row_number() OVER (PARTITION BY phase ORDER BY seq) AS INTEGER) AS place, sql FROM sc")
 def catalog_script(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.script(plan.statements(_plan(spark, sf_dir)))
 

@@ -3,18 +3,18 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from lattica import session
+
 
 def shared(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, or of our own where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='lattica-')}"
-    return f"{base.rstrip('/')}/lattica/files-{uuid.uuid4().hex[:12]}"
+    """A new folder that driver and executors share."""
+    return f"{session.shared(spark)}/files-{uuid.uuid4().hex[:12]}"
 
 
 def copy_to(df: DataFrame, path: str, header: bool = False, delimiter: str = ",", quote: str = '"', escape: str = '"', null: str = "") -> None:
@@ -32,7 +32,7 @@ def external_table(spark: SparkSession, path: str, schema: str, delimiter: str =
     """(rows, rejected lines); more rejects than the limit are an error."""
     read = spark.read.csv(path, schema=f"{schema}, _bad string", sep=delimiter, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad")
     names = [c for c in read.columns if c != "_bad"]
-    read = read.select(*names, "_bad").persist()
+    read = session.written(read.select(*names, "_bad"), "external")  # read once: a reject is told while all columns are parsed
     good, bad = read.filter("_bad IS NULL").select(*names), read.filter("_bad IS NOT NULL").select("_bad")
     if reject_limit is not None and (n := bad.count()) > reject_limit:
         raise ValueError(f"{n} rejected rows; {reject_limit} are allowed")

@@ -58,7 +58,8 @@ def test_merge_branches(spark):
 
 def test_rules():
     show, found = diff.parse_rules('HIDE ALL\nSHOW CONTENT,REGEX "a b.*" type=TABLE,VIEW\n')
-    assert not show and found == [(0, "a b.*", True, False, ["TABLE", "VIEW"], True, True)]
+    assert not show and found == [(0, "a b.*", True, False, ["TABLE", "VIEW"], True, True, None)]
+    assert diff.parse_rules("HIDE 'it''s x' db=\"t .*\" type=VIEW")[1] == [(0, "it's x", False, False, ["VIEW"], False, False, "t .*")]
 
 
 def test_statements_keep_quoted_semicolons():
