@@ -30,10 +30,14 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", re.ASCII)
 
 MARK = re.compile(r"[0-9@]", re.ASCII)
 WINDOW, MARGIN = 96, 24
+#: Characters of a name before "@" that a window holds: an address has no more.
+NAME = 65
 HIDDEN, EMBED = 24, 12
-TRAIN_TEXTS, TRAIN_EPOCHS, SEED = 1_536, 14, 11
+TRAIN_TEXTS, TRAIN_EPOCHS, SEED = 2_048, 12, 11
+#: Characters of a text to learn from, at least.
+TRAINED = 40
 #: Least posterior of every character of a model span.
-SURE = 0.9
+SURE = 0.6
 
 Span = tuple[int, int, int]  # kind's number, start, end
 
@@ -48,6 +52,11 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _octet(digits: str) -> bool:
+    """At most 255? Digits may be any number of ASCII ones."""
+    return digits.isascii() and digits.isdigit() and len(s := digits.lstrip("0")) <= 3 and int(s or "0") <= 255
+
+
 def _emails(text: str) -> list[Span]:
     out, free, at = [], 0, text.find("@")
     while at >= 0:
@@ -68,7 +77,7 @@ def base_spans(text: str) -> list[Span]:
     if not MARK.search(text):
         return []
     out = _emails(text) if "@" in text else []
-    out += [(1, *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))]
+    out += [(1, *m.span()) for m in IP.finditer(text) if all(_octet(p) for p in m.group().split("."))]
     for m in CARD.finditer(text):
         digits = re.sub("[ -]", "", m.group())
         if 13 <= len(digits) <= 19 and luhn(digits):
@@ -126,17 +135,17 @@ def _alike(r: random.Random) -> str:
 
 
 def labelled(n: int, seed: int) -> list[tuple[str, list[Span]]]:
-    """Texts of about a window's length with their spans."""
+    """Texts of TRAINED characters or a few more with their spans."""
     r, out = random.Random(seed), []
     for _ in range(n):
         text, spans = "", []
-        while len(text) < WINDOW:
+        while len(text) < TRAINED:
             x = r.random()
-            if x < 0.12:
+            if x < 0.16:
                 s, kind = _private(r)
                 spans.append((kind, len(text), len(text) + len(s)))
                 text += s
-            elif x < 0.26:
+            elif x < 0.32:
                 text += _alike(r)
             else:
                 text += r.choice((_word(r), _word(r).capitalize(), _word(r).upper()))
@@ -337,15 +346,21 @@ def default_model() -> dict:
 
 
 def windows(text: str) -> list[tuple[int, int]]:
-    """Overlapping windows that hold every digit and "@" at least MARGIN characters from an edge (the text's ends apart)."""
+    """Overlapping windows that hold every digit and "@" at least MARGIN characters from an edge (the text's ends apart), and of a name before
+    "@", with or without a blank, up to NAME characters."""
     out: list[tuple[int, int]] = []
     last = -1
     for m in MARK.finditer(text):
         i = m.start()
-        if i < last:
-            continue
         start = max(0, i - MARGIN)
-        end = min(len(text), start + WINDOW)
+        if text[i] == "@":
+            at = i - 1 if i and text[i - 1] == " " else i
+            while at > max(0, i - NAME) and text[at - 1] in LOCAL:
+                at -= 1
+            start = min(start, at)
+        if i < last and start >= out[-1][0]:
+            continue
+        end = min(len(text), max(start + WINDOW, i + MARGIN))
         out.append((start, end))
         last = end - MARGIN if end < len(text) else len(text)
     return out
@@ -355,7 +370,7 @@ def decode(p: dict, texts: list[str], size: int = 256) -> list[list[Span]]:
     """Model spans of each text, windows reconciled."""
     jobs = [(k, a, b) for k, t in enumerate(texts) for a, b in windows(t)]
     jobs.sort(key=lambda j: j[2] - j[1])
-    votes: list[dict[int, tuple[int, int, float]]] = [{} for _ in texts]  # by character: distance from the edge, tag, posterior
+    seen: list[list[tuple]] = [[] for _ in texts]  # of each text: windows with the tag and posterior of each character
     for at in range(0, len(jobs), size):
         part = jobs[at : at + size]
         ids, mask = batch([texts[k][a:b] for k, a, b in part])
@@ -365,31 +380,33 @@ def decode(p: dict, texts: list[str], size: int = 256) -> list[list[Span]]:
         z = _lse(f[-1], 1)
         post = np.stack([np.exp(np.take_along_axis(f[t] + bw[t] - z[:, None], best[t][:, None], 1)[:, 0]) for t in range(len(s))])
         for j, (k, a, b) in enumerate(part):
-            mine = votes[k]
-            for t in np.flatnonzero(best[: b - a, j]):
-                i = a + int(t)
-                mine.setdefault(i, (-1, 0, 0.0))
-            for i in [x for x in mine if a <= x < b]:
-                edge = min(i - a if a else WINDOW, b - 1 - i if b < len(texts[k]) else WINDOW)
-                if edge > mine[i][0]:
-                    mine[i] = (edge, int(best[i - a, j]), float(post[i - a, j]))
-    out = []
-    for mine in votes:
-        spans: list[Span] = []
-        open_: list | None = None
-        for i in sorted(mine):
-            _, tag, sure = mine[i]
-            kind = (tag - 1) // 2
-            if open_ and tag and tag % 2 == 0 and open_[0] == kind and open_[2] == i:
-                open_[2], open_[3] = i + 1, min(open_[3], sure)
-                continue
-            if open_ and open_[3] >= SURE:
-                spans.append(tuple(open_[:3]))
-            open_ = [kind, i, i + 1, sure] if tag else None
+            seen[k].append((a, b, best[: b - a, j].astype(np.int8), post[: b - a, j].astype(np.float32)))
+    return [_reconciled(len(t), mine) for t, mine in zip(texts, seen, strict=True)]
+
+
+def _reconciled(n: int, seen: list[tuple]) -> list[Span]:
+    """Spans of a text of n characters: each character's tag is that of the window in which it lies farthest from an edge (the first of equals)."""
+    if not any(tag.any() for _, _, tag, _ in seen):
+        return []
+    far, tags_, sure = np.full(n, -1, np.int16), np.zeros(n, np.int8), np.zeros(n, np.float32)
+    for a, b, tag, post in sorted(seen, key=lambda x: x[:2]):
+        i = np.arange(a, b)
+        edge = np.minimum(np.minimum(i - a if a else WINDOW, b - 1 - i if b < n else WINDOW), np.full(b - a, WINDOW)).astype(np.int16)
+        take = np.flatnonzero(edge > far[a:b])
+        far[a + take], tags_[a + take], sure[a + take] = edge[take], tag[take], post[take]
+    spans: list[Span] = []
+    open_: list | None = None
+    for i in np.flatnonzero(tags_).tolist():
+        tag, kind = int(tags_[i]), (int(tags_[i]) - 1) // 2
+        if open_ and tag % 2 == 0 and open_[0] == kind and open_[2] == i:
+            open_[2], open_[3] = i + 1, min(open_[3], float(sure[i]))
+            continue
         if open_ and open_[3] >= SURE:
             spans.append(tuple(open_[:3]))
-        out.append(spans)
-    return out
+        open_ = [kind, i, i + 1, float(sure[i])]
+    if open_ and open_[3] >= SURE:
+        spans.append(tuple(open_[:3]))
+    return spans
 
 
 def shaped(text: str, span: Span) -> bool:
@@ -403,7 +420,7 @@ def shaped(text: str, span: Span) -> bool:
     if kind == 0:
         return s.count("@") == 1 and "." in s.split("@")[1] and len(s.split("@")[0].strip()) > 0 and s[-1].isalpha()
     if kind == 1:
-        return s.count(".") == 3 and all(x.isdigit() and int(x) <= 255 for x in s.split("."))
+        return s.count(".") == 3 and all(_octet(x) for x in s.split("."))
     if kind == 2:
         return 13 <= n <= 19 and len(s) <= n + 5 and luhn("".join(c for c in s if c in "0123456789"))
     return 9 <= n <= 15 and (s[0] in "+(" or s.startswith("00")) and len(s) > n
