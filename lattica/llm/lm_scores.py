@@ -37,11 +37,11 @@ LEVELS = 97
 #: Word pairs that a map task gathers before it hands their counts on.
 FLUSH = 1_000_000
 #: Tokens of a range of n-gram hashes, about.
-RANGE_TOKENS = 2_000_000
+RANGE_TOKENS = 1_000_000
 #: Ranges as a power of two at most: with more tokens than RANGE_TOKENS << 20 ranges grow.
 MOST_RANGE_BITS = 20
 #: Tokens of a chunk of texts, about.
-CHUNK = 1_000_000
+CHUNK = 500_000
 #: The most levels for each occurrence: level(2, 1) = 3, less beyond.
 MOST_LEVELS = 1.5
 

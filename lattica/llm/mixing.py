@@ -82,7 +82,7 @@ def train(spark: SparkSession, docs: DataFrame, labelled: DataFrame, domains: li
 
 
 def memberships(spark: SparkSession, docs: DataFrame, weights: np.ndarray, text: str = "text") -> DataFrame:
-    """docs with __tokens (words) and __p (posterior of each domain)."""
+    """docs with __tokens (words) and __p (posterior of each domain); docs must not have columns of these names."""
     sent, keep, n, at = spark.sparkContext.broadcast(weights.tobytes()), docs.columns, weights.shape[1], docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +174,11 @@ def mix(spark: SparkSession, docs: DataFrame, labelled: DataFrame, targets: dict
 
 
 def resampled(spark: SparkSession, docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id: str = "doc_id", text: str = "text", domain: str = "domain", high: float = math.inf) -> DataFrame:
-    """The rows of docs, each once or more: floor(rate + u) times, u in [0, 1) hashed from id and text; rates are 1 or more, as high as targets ask."""
+    """The rows of docs, each once or more: floor(rate + u) times, u in [0, 1) hashed from id and text; rates are 1 or more, as high as targets ask.
+
+    A null text counts as empty and stays once or more, as does a row with a null id. Repeated rows are repeated alike. An empty table: no rows. docs must not
+    have columns named __tokens, __p, __times.
+    """
     domains = sorted(targets)
     bounded_batches(spark)
     weights = train(spark, docs, labelled, domains, id, text, domain)

@@ -458,7 +458,10 @@ def _across(spark: SparkSession, large: DataFrame, links: DataFrame, percent: in
 
 
 def first_of_each(spark: SparkSession, docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, all columns, whose id is the least of their component; rows without an id stay."""
+    """The rows of docs, all columns, whose id is the least of their component; rows without an id stay.
+
+    Null and empty texts are like nothing and stay; repeated rows of the least id stay all. An empty table: no rows. docs must not have a column named __gone.
+    """
     found = near_copies(spark, docs, id, text, words, percent)
     gone = found.filter(F.col(id) != F.col("component_id")).select(F.col(id).alias("__gone")).distinct()
     return docs.join(gone, F.col(id) == F.col("__gone"), "left_anti")

@@ -137,7 +137,8 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, id: str = "do
 
 
 def scored(spark: SparkSession, docs: DataFrame, weights: np.ndarray, text: str = "text", score: str = "score") -> DataFrame:
-    """docs with a column score: the probability of label 1, for every whole text."""
+    """docs with a column score: the probability of label 1, for every whole text; null counts as empty. Repeated rows: each. docs must not have
+    a column of that name."""
     sent = spark.sparkContext.broadcast(weights.tobytes())
     keep, at = docs.columns, docs.columns.index(text)
 

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import re
-import struct
 
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("lattica.llm")
@@ -13,14 +13,14 @@ from hypothesis import strategies as st  # noqa: E402
 
 from lattica.llm import exact_dedup, near_copies, packing, pii, warc, wordbpe  # noqa: E402
 
-TEXT = st.text(alphabet=st.one_of(st.characters(codec="utf-8"), st.sampled_from(list("aAbB .,'!<|>123\n\té́ßİ"))), max_size=60)
+TEXT = st.text(alphabet=st.one_of(st.characters(codec="utf-8"), st.sampled_from(list("aAbB .,'!<|>123\n\té́ßİ-_&s"))), max_size=60)
 
 
 @settings(max_examples=300, deadline=None)
 @given(TEXT)
 def test_word_ids_equal_whole_text_ids(text):
     ids = wordbpe.load().encode(text, add_special_tokens=False).ids
-    assert wordbpe.WordIds(max_words=64).encode(text.encode()) == struct.pack(f"<{len(ids)}I", *ids)
+    assert [x.tolist() for x in wordbpe.WordIds(max_words=64).encode(pa.array(["a", text]).slice(1))] == [ids]
 
 
 @settings(max_examples=300, deadline=None)
@@ -41,7 +41,7 @@ def test_ips_are_the_patterns(text):
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(1, 50), max_size=60), st.integers(0, 5))
 def test_packings_are_whole(sizes, seed):
-    bins = packing.evolve(sizes, 50, seed)
+    bins, _ = packing.evolve(sizes, 50, seed)
     assert sorted(i for b in bins for i in b) == list(range(len(sizes)))
     assert all(sum(sizes[i] for i in b) <= 50 for b in bins)
 
