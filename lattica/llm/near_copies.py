@@ -5,9 +5,10 @@ threshold share an n-gram among their first few (the prefix). The order puts n-g
 
 1. Documents with equal sets are one class; classes with equal prefix and size are one group.
 2. Posting lists: for each prefix n-gram, the groups that have it, by size. Pairs of short lists are counted, and those that share
-   too few prefix n-grams for their sizes are dropped. In a long list neighbours of compatible size are chained, so m groups
-   give m - 1 edges, not m * m. The components of all edges are clusters, and no similar pair lies in two.
-   Lists of frequent n-grams are dealt to several tasks, whose chains are joined by their size ranges.
+   too few prefix n-grams for their sizes are dropped. In a long list neighbours are chained, so m groups give m - 1 edges, not
+   m * m. The components of all edges are clusters, and no similar pair lies in two.
+   Lists of frequent n-grams are dealt to several tasks, whose chains are joined by their size ranges; what stands before the n-gram
+   in a set bounds the sizes that it can be similar to there (see chains).
 3. Clusters are expanded to their classes and verified with the whole sets. Pairs already connected need no check. A cluster over CHUNK
    classes is verified in chunks; then a few classes of each part found meet; then whatever isn't in the cluster's
    largest part meets all of it, chunk by chunk, so that no link is lost.
@@ -63,24 +64,39 @@ class Shingler:
             x = mixed(x * _A[1] + h[j : len(h) - k + 1 + j])
         return np.unique(mixed(x))
 
+    def known(self, s: np.ndarray) -> np.ndarray:
+        """Which n-grams are frequent ones."""
+        return self.frequent[np.minimum(np.searchsorted(self.frequent, s), len(self.frequent) - 1)] == s
+
     def prefix(self, s: np.ndarray) -> tuple[np.ndarray, int]:
         """The set's prefix, and at which place its frequent n-grams begin."""
         n = len(s)
         size = n - (self.percent * n + 99) // 100 + 1 if n else 0
         if self.frequent is None:
             return s[:size], size
-        at = np.minimum(np.searchsorted(self.frequent, s), len(self.frequent) - 1)
-        last = self.frequent[at] == s
+        last = self.known(s)
         rare = s[~last]
         return (rare[:size], size) if len(rare) >= size else (np.concatenate([rare, s[last][: size - len(rare)]]), len(rare))
 
 
 def frequent_grams(spark: SparkSession, docs: DataFrame, words: int, percent: int, limit: int = FREQUENT, most: int = MOST_FREQUENT) -> np.ndarray:
-    """Sorted n-grams that stand in more than limit prefixes (limit doubled until at most `most` are left)."""
+    """Sorted n-grams that stand in more than limit prefixes (limit doubled until at most `most` are left, half of them in each pass).
+
+    Prefixes in hash order are samples of their sets. Where half a prefix or more is frequent, a second pass counts the whole set,
+    so that of a passage that makes up most of many texts not only the sampled n-grams come last.
+    """
+    first = _frequent(spark, docs, words, percent, limit, most // 2)
+    return np.union1d(first, _frequent(spark, docs, words, percent, limit, most // 2, first)) if len(first) else first
+
+
+def _frequent(spark: SparkSession, docs: DataFrame, words: int, percent: int, limit: int, most: int, known: np.ndarray | None = None) -> np.ndarray:
+    """N-grams in more than limit prefixes; with known ones: others in more than limit of the sets whose prefixes hold as many known ones as others."""
+    sent = None if known is None else spark.sparkContext.broadcast(known.tobytes())
     bits = max(4, (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, held, n, seen = Shingler(words, percent), [], 0, set()
+        late = None if sent is None else Shingler(words, percent, np.frombuffer(sent.value, np.uint64))
 
         def out():
             grams, counts = np.unique(np.concatenate(held), return_counts=True)
@@ -93,8 +109,13 @@ def frequent_grams(spark: SparkSession, docs: DataFrame, words: int, percent: in
                 if (d := xxh3_128_digest(h.tobytes())) in seen:  # a copy in the same task
                     continue
                 seen.add(d)
-                held.append(shingler.prefix(shingler.shingles(h))[0])
-                n += len(held[-1])
+                s = shingler.shingles(h)
+                p = shingler.prefix(s)[0]
+                if late is not None:
+                    p = s[~late.known(s)] if 2 * np.count_nonzero(late.known(p)) >= len(p) else p[:0]
+                if len(p):
+                    held.append(p)
+                n += len(p)
                 if n > FLUSH:
                     yield out()
                     held, n, seen = [], 0, set()
@@ -150,16 +171,16 @@ def _edges(a: list, b: list) -> pa.RecordBatch:
     return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-CANDIDATES = "a long, b long, na long, nb long, c long, gram long, least long, most long, root long"
+CANDIDATES = "a long, b long, na long, nb long, fa long, fb long, c long, gram long, least long, most long, root long"
 
 
 def _candidates(**columns) -> pa.RecordBatch:
-    names = ["a", "b", "na", "nb", "c", "gram", "least", "most", "root"]
+    names = [x.split()[0] for x in CANDIDATES.split(", ")]
     n = len(next(iter(columns.values())))
     return pa.record_batch([pa.array(columns[x], pa.int64()) if x in columns else pa.nulls(n, pa.int64()) for x in names], names)
 
 
-def _list_pairs(lists: np.ndarray, n: np.ndarray, gid: np.ndarray, percent: int) -> pa.RecordBatch:
+def _list_pairs(lists: np.ndarray, n: np.ndarray, gid: np.ndarray, more: np.ndarray, percent: int) -> pa.RecordBatch:
     """Pairs of compatible size of each list (rows by list, then size), with the number of lists that have both."""
     at, d, a, b = np.arange(len(n)), 0, [], []
     while len(at):
@@ -177,103 +198,141 @@ def _list_pairs(lists: np.ndarray, n: np.ndarray, gid: np.ndarray, percent: int)
     counts = np.diff(np.append(first, len(a)))
     a, b = a[first], b[first]
     keep = gid[a] != gid[b]
-    return _candidates(a=gid[a][keep], b=gid[b][keep], na=n[a][keep], nb=n[b][keep], c=counts[keep])
+    return _candidates(a=gid[a][keep], b=gid[b][keep], na=n[a][keep], nb=n[b][keep], fa=more[a][keep], fb=more[b][keep], c=counts[keep])
 
 
 def chains(spark: SparkSession, groups: DataFrame, percent: int, short: int = SHORT) -> DataFrame:
     """(a, b): edges that connect all groups that may hold similar classes.
 
-    Two similar sets share at least `need` n-grams of their prefixes, often far more than one; pairs of lists of at most `short`
-    groups are counted against it. Longer lists are chained: neighbours by size are connected where their sizes are compatible.
+    Rare n-grams: similar sets share at least `need` n-grams of their prefixes; pairs of lists of at most `short` groups are counted
+    against it, with as many frequent ones as both prefixes could share besides. Longer lists are chained: neighbours by size are
+    connected where their sizes are compatible.
+
+    Frequent n-grams matter to pairs that share no n-gram before them. Such a set with r n-grams from this one on can be similar
+    to sets of at most `reach` = (100 + percent) / percent * r - n n-grams, and x and y only if each is within the other's reach. Sets that
+    reach their own size are sorted by it, and a chain ends where no earlier set reaches the next one. The others need a
+    smaller set that reaches them, so they meet the chains, not one another: texts that share a long passage and are else
+    unlike aren't connected by it.
     """
-    rows = groups.select("gid", "n", "rare", F.posexplode("prefix").alias("at", "gram"))
-    salt = F.when(F.col("at") >= F.col("rare"), F.pmod(F.xxhash64("gid"), F.lit(SALTS)).cast("int")).otherwise(F.lit(-1))
-    dealt = rows.select("gram", salt.alias("salt"), "n", "gid").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "gram", "salt").sortWithinPartitions("gram", "salt", "n", "gid")
+    rows = groups.select("gid", "n", "rare", F.size("prefix").alias("p"), F.posexplode("prefix").alias("at", "gram"))
+    late = F.col("at") >= F.col("rare")
+    salt = F.when(late, F.pmod(F.xxhash64("gid"), F.lit(SALTS)).cast("int")).otherwise(F.lit(-1))
+    reach = F.floor((100 + percent) * (F.col("n") - F.col("at")) / percent) - F.col("n")
+    more = F.when(late, reach).otherwise(F.col("p") - F.col("rare")).cast("long")
+    dealt = rows.select("gram", salt.alias("salt"), "n", "gid", more.alias("more"))
+    dealt = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "gram", "salt").sortWithinPartitions("gram", "salt", "n", "gid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # rows of a list that may go on and is still short
-        chain = None  # (gram, salt, n, gid) of the last row of a long list that may go on, its chain's root and least size
+        held = None  # rows of a rare n-gram's list that may go on and is still short
+        chain = None  # (gram, n, gid) of the last row of a long list that may go on, and its chain's root
+        wide = None  # (gram, salt, least size, root, reach) of a frequent n-gram's chain that may go on
 
-        def take(gram, salt, n, gid, last: bool):
+        def take(gram, n, gid, more, last: bool):
             nonlocal held, chain
             if held is not None:
-                gram, salt, n, gid = (np.concatenate([x, y]) for x, y in zip(held, (gram, salt, n, gid), strict=True))
+                gram, n, gid, more = (np.concatenate([x, y]) for x, y in zip(held, (gram, n, gid, more), strict=True))
                 held = None
             if not len(gram):
                 return
-            start = np.concatenate([[True], (gram[1:] != gram[:-1]) | (salt[1:] != salt[:-1])])
+            start = np.concatenate([[True], gram[1:] != gram[:-1]])
             which = np.cumsum(start) - 1
-            long = (np.bincount(which) > short) | (salt[start] >= 0)
-            goes_on = chain is not None and chain[0] == gram[0] and chain[1] == salt[0]
-            if goes_on:
+            long = np.bincount(which) > short
+            if chain is not None and chain[0] == gram[0]:
                 long[0] = True
-            if chain is not None and not goes_on:
-                yield from close()
+            else:
+                chain = None
             end = len(gram)
             if not last and not long[-1]:
                 end = int(np.flatnonzero(start)[-1])
-                held = (gram[end:], salt[end:], n[end:], gid[end:])
+                held = (gram[end:], n[end:], gid[end:], more[end:])
             is_long = long[which]
             some = np.flatnonzero(~is_long[:end])
             if len(some):
-                yield _list_pairs(which[some], n[some], gid[some], percent)
+                yield _list_pairs(which[some], n[some], gid[some], more[some], percent)
             some = np.flatnonzero(is_long[:end])
             if len(some):
-                yield from chained(gram[some], salt[some], n[some], gid[some])
+                yield from chained(gram[some], n[some], gid[some])
 
-        def chained(gram, salt, n, gid):
+        def chained(gram, n, gid):
             nonlocal chain
             if chain is not None:
-                gram, salt, n, gid = (np.concatenate([[x], y]) for x, y in zip(chain[:4], (gram, salt, n, gid), strict=True))
-            same = (gram[1:] == gram[:-1]) & (salt[1:] == salt[:-1]) & (100 * n[:-1] >= percent * n[1:])
-            start = np.concatenate([[True], ~same])
-            at = np.flatnonzero(start)
-            part = np.cumsum(start) - 1
-            root, least = gid[at][part], n[at][part]
+                gram, n, gid = (np.concatenate([[x], y]) for x, y in zip(chain[:3], (gram, n, gid), strict=True))
+            start = np.concatenate([[True], ~((gram[1:] == gram[:-1]) & (100 * n[:-1] >= percent * n[1:]))])
+            root = gid[start][np.cumsum(start) - 1]
             if chain is not None:
-                root[part == 0], least[part == 0] = chain[4], chain[5]
-            inner = np.flatnonzero(~start)
-            if len(inner):
-                pairs = np.unique(np.stack([gid[inner], root[inner]], 1), axis=0)
+                root[np.cumsum(start) == 1] = chain[3]
+            yield from edges(gid[~start], root[~start])
+            chain = (gram[-1], n[-1], gid[-1], root[-1])
+
+        def edges(a, b):
+            if len(a):
+                pairs = np.unique(np.stack([a, b], 1), axis=0)
                 yield _candidates(a=pairs[:, 0], b=pairs[:, 1])
-            ends = (at[1:] - 1).astype(np.int64)  # chains that are over; the last may go on
-            ends = ends[salt[ends] >= 0]
-            if len(ends):
-                yield _candidates(gram=gram[ends], least=least[ends], most=n[ends], root=root[ends])
-            chain = (gram[-1], salt[-1], n[-1], gid[-1], root[-1], least[-1])
 
-        def close():
-            nonlocal chain
-            if chain is not None and chain[1] >= 0:
-                yield _candidates(gram=[chain[0]], least=[chain[5]], most=[chain[2]], root=[chain[4]])
-            chain = None
+        def reached(gram, salt, n, gid, reach):
+            nonlocal wide
+            apart = reach < n
+            if apart.any():
+                yield _candidates(gram=gram[apart], a=gid[apart], least=n[apart], most=reach[apart])
+            gram, salt, n, gid, reach = (x[~apart] for x in (gram, salt, n, gid, reach))
+            if not len(gram):
+                return
+            if wide is not None:
+                gram, salt, n, gid, reach = (np.concatenate([[x], y]) for x, y in zip(wide, (gram, salt, n, gid, reach), strict=True))
+            first = np.concatenate([[True], (gram[1:] != gram[:-1]) | (salt[1:] != salt[:-1])])
+            base = np.cumsum(first).astype(np.int64) << 40
+            so_far = np.maximum.accumulate(base + reach) - base  # the furthest reach in the list up to each row
+            start = first | np.concatenate([[True], so_far[:-1] < n[1:]])
+            root = gid[start][np.cumsum(start) - 1]
+            yield from edges(gid[~start], root[~start])
+            at = np.flatnonzero(start)
+            to = np.append(at[1:], len(n)) - 1
+            wide = (gram[at[-1]], salt[at[-1]], n[at[-1]], root[-1], so_far[-1])
+            at, to = at[:-1], to[:-1]
+            if len(at):
+                yield _candidates(gram=gram[at], least=n[at], most=so_far[to], root=root[at])
 
         for b in batches:
-            if b.num_rows:
-                yield from take(*(c.to_numpy() for c in b.columns), False)
+            gram, salt, n, gid, more = (c.to_numpy() for c in b.columns)
+            late = salt >= 0
+            if not late.all():
+                yield from take(gram[~late], n[~late], gid[~late], more[~late], False)
+            if late.any():
+                yield from reached(gram[late], salt[late], n[late], gid[late], more[late])
         yield from take(*(np.empty(0, np.int64) for _ in range(4)), True)
-        yield from close()
+        if wide is not None:
+            yield _candidates(gram=[wide[0]], least=[wide[2]], root=[wide[3]], most=[wide[4]])
 
     found = written(spark, dealt.mapInArrow(run, CANDIDATES), "candidates")
     top, sum_ = F.greatest("na", "nb"), F.col("na") + F.col("nb")
     overlap = F.floor((percent * sum_ + 99 + percent) / (100 + percent))
     need = F.greatest(F.lit(1), overlap - F.floor((percent * top + 99) / 100) + 1)
-    counted = found.filter("c IS NOT NULL").groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c")).filter(F.col("c") >= need).select("a", "b")
+    pairs = found.filter("c IS NOT NULL").groupBy("a", "b", "na", "nb", "fa", "fb").agg(F.sum("c").alias("c"))
+    counted = pairs.filter(F.col("c") + F.least("fa", "fb") >= need).select("a", "b")
 
     def join(key, rows):
         t = rows.sort_by([("least", "ascending"), ("root", "ascending")])
-        a, b, most, root = [], [], -1, None
+        a, b, spans = [], [], []
         for low, high, r in zip(*(t.column(c).to_pylist() for c in ("least", "most", "root")), strict=True):
-            if root is not None and 100 * most >= percent * low:
+            if spans and spans[-1][1] >= low:
                 a.append(r)
-                b.append(root)
-                most = max(most, high)
+                b.append(spans[-1][2])
+                spans[-1][1] = max(spans[-1][1], high)
             else:
-                most, root = high, r
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    joined = found.filter("gram IS NOT NULL").select("gram", "least", "most", "root").groupBy("gram").applyInArrow(join, "a long, b long")
-    return counted.unionByName(found.filter("c IS NULL AND a IS NOT NULL").select("a", "b")).unionByName(joined)
+                spans.append([low, high, r])
+        none, nones = [None] * len(spans), [None] * len(a)
+        columns = [a + none, b + none, *(nones + [s[i] for s in spans] for i in range(3))]
+        gram = [key[0].as_py()] * len(columns[0])
+        return pa.table([pa.array(c, pa.int64()) for c in (gram, *columns)], ["gram", "a", "b", "least", "most", "root"])
+
+    # chains of one n-gram that overlap are connected, and what they cover together meets the sets apart
+    parts = found.filter("root IS NOT NULL").select("gram", "least", "most", "root")
+    joined = written(spark, parts.groupBy("gram").applyInArrow(join, "gram long, a long, b long, least long, most long, root long"), "spans")
+    spans = joined.filter("root IS NOT NULL").select("gram", F.col("least").alias("low"), F.col("most").alias("high"), F.col("root").alias("b"))
+    apart = found.filter("gram IS NOT NULL AND a IS NOT NULL").select("gram", "a", "least", "most")
+    met = apart.join(spans, "gram").filter("least <= high AND low <= most").select("a", "b").distinct()
+    plain = found.filter("c IS NULL AND gram IS NULL").select("a", "b")
+    return counted.unionByName(plain).unionByName(joined.filter("a IS NOT NULL").select("a", "b")).unionByName(met)
 
 
 def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:

@@ -457,6 +457,24 @@ def test_near_copies(spark, monkeypatch, k, percent, chunk, short, frequent):
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in got.collect()} == brute_components(out, k, percent)
 
 
+def test_near_copies_of_a_template(spark, monkeypatch):
+    """Texts that share a long passage: links are whole, and the passage alone makes no candidates."""
+    r = random.Random(7)
+    passage = [f"p{i}" for i in range(100)]
+    own = [r.choice([0, 1, 2, 3, 4, 6, 8, 9, 10, 11, 12, 14, 17, 20, 25]) for _ in range(150)]
+    out = [" ".join([*(f"a{i}x{j}" for j in range(n // 2)), *passage, *(f"b{i}x{j}" for j in range(n - n // 2))]) for i, n in enumerate(own)]
+    out += [" ".join([*passage[:50], *(f"m{i}x{j}" for j in range(r.randint(0, 9))), *passage[50:]]) for i in range(60)]
+    monkeypatch.setattr(near_copies.chains, "__defaults__", (8,))
+    for frequent in (2, 16):
+        got = near_copies.near_copies(spark, make(spark, out), words=4, percent=85, chunk=20, frequent=frequent)
+        assert {x.doc_id: (x.n_shingles, x.component_id) for x in got.collect()} == brute_components(out, 4, 85)
+    unlike = [" ".join([*(f"a{i}x{j}" for j in range(5)), *passage, *(f"b{i}x{j}" for j in range(5 + i % 2))]) for i in range(150)]
+    unlike = make(spark, unlike).select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
+    sent = spark.sparkContext.broadcast(near_copies.frequent_grams(spark, unlike, 4, 85, 2).tobytes())
+    sets = near_copies.prefixes(spark, unlike, 4, 85, sent).select(F.col("_id").alias("gid"), "n", "rare", "prefix")
+    assert sets.count() == 150 and near_copies.chains(spark, sets, 85).count() == 0
+
+
 def test_near_copies_edges(spark, empty):
     assert near_copies.near_copies(spark, empty).count() == 0
     odd = make(spark, ["a b c d e f"]).unionByName(make(spark, ["a b c d e f"])).unionByName(make(spark, ["a b c d e f", "z y x w v"]).withColumn("doc_id", F.lit(None).cast("long")))
