@@ -135,6 +135,10 @@ both("join_constant", "SELECT count(*) AS n FROM region LEFT JOIN nation ON fals
 two("join_null_safe", "SELECT count(*) AS n FROM (SELECT nullif(n_regionkey, 1) AS k FROM nation) a JOIN (SELECT nullif(r_regionkey, 1) AS k FROM region) b ON a.k <=> b.k", "SELECT count(*) AS n FROM (SELECT nullif(n_regionkey, 1) AS k FROM nation) a JOIN (SELECT nullif(r_regionkey, 1) AS k FROM region) b ON a.k IS NOT DISTINCT FROM b.k")
 two("join_lateral", "SELECT c_custkey, t.o_orderkey FROM customer, LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2) t", "SELECT c_custkey, t.o_orderkey FROM customer, LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2) t")
 two("join_hints", "SELECT /*+ BROADCAST(n) */ n_name, count(*) AS k FROM supplier s JOIN nation n ON s_nationkey = n_nationkey GROUP BY n_name", "SELECT n_name, count(*) AS k FROM supplier s JOIN nation n ON s_nationkey = n_nationkey GROUP BY n_name")
+for _hint in ("MERGE", "SHUFFLE_HASH", "SHUFFLE_REPLICATE_NL"):
+    two(f"join_hint_{_hint.lower()}", f"SELECT /*+ {_hint}(n) */ n_name, count(*) AS k FROM supplier s JOIN nation n ON s_nationkey = n_nationkey GROUP BY n_name", "SELECT n_name, count(*) AS k FROM supplier s JOIN nation n ON s_nationkey = n_nationkey GROUP BY n_name")
+two("join_parenthesised", "SELECT r_name, j.n_name, j.s_suppkey FROM region LEFT JOIN (nation JOIN supplier ON s_nationkey = n_nationkey) AS j ON j.n_regionkey = r_regionkey", "SELECT r_name, n_name, s_suppkey FROM region LEFT JOIN (nation JOIN supplier ON s_nationkey = n_nationkey) ON n_regionkey = r_regionkey")
+two("join_array_left", "SELECT c_custkey, x FROM customer LATERAL VIEW OUTER explode(CASE WHEN c_acctbal > 0 THEN array(1, 2) ELSE CAST(array() AS ARRAY<INT>) END) t AS x", "SELECT c_custkey, unnest([1, 2]) AS x FROM customer WHERE c_acctbal > 0 UNION ALL SELECT c_custkey, NULL FROM customer WHERE NOT c_acctbal > 0 OR c_acctbal IS NULL")
 two("join_pivot", "SELECT * FROM (SELECT o_orderstatus, o_orderpriority AS p, o_orderkey FROM orders) PIVOT (count(o_orderkey) AS n FOR o_orderstatus IN ('F' AS f, 'O' AS o, 'P' AS p_))", "SELECT o_orderpriority AS p, count(*) FILTER (WHERE o_orderstatus = 'F') AS f, count(*) FILTER (WHERE o_orderstatus = 'O') AS o, count(*) FILTER (WHERE o_orderstatus = 'P') AS p_ FROM orders GROUP BY 1")
 two("join_unpivot", "SELECT * FROM (SELECT l_orderkey, l_linenumber, l_discount, l_tax FROM lineitem) UNPIVOT (v FOR what IN (l_discount, l_tax))", "SELECT l_orderkey, l_linenumber, what, v FROM (SELECT l_orderkey, l_linenumber, l_discount, l_tax FROM lineitem) UNPIVOT (v FOR what IN (l_discount, l_tax))")
 
