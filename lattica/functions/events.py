@@ -12,24 +12,19 @@ from pyspark.sql import functions as F
 def window_funnel(df: DataFrame, key: str, time: str, event: str, steps: Sequence[str], seconds: int) -> DataFrame:
     """(key, level): the longest run of steps, in order, that begins with steps[0] and ends within `seconds` of it.
 
-    One fold over each key's events in time order carries, for each step, the latest start time of a run that reached it.
+    Each event of a step carries the latest start of a run that has reached it: running maxima over one sort, so a key's events are
+    never held in one row and a hot key's spill.
     """
-    known = df.filter(F.col(event).isin(list(steps))).select(key, F.unix_micros(F.col(time).cast("timestamp")).alias("_t"), event)
-    lists = known.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_t", F.col(event).alias("_e")))).alias("_l"))
-    width = seconds * 1_000_000
-    start = F.array(*[F.lit(None).cast("long")] * len(steps))
-
-    def fold(acc: Column, x: Column) -> Column:
-        cells = [F.when(x["_e"] == steps[0], x["_t"]).otherwise(F.get(acc, F.lit(0)))]
-        for i, s in enumerate(steps[1:], 1):
-            before = F.get(acc, F.lit(i - 1))
-            cells.append(F.when((x["_e"] == s) & before.isNotNull() & (x["_t"] - before <= width), before).otherwise(F.get(acc, F.lit(i))))
-        return F.array(*cells)
-
-    reached = F.aggregate("_l", start, fold)
-    level = F.size(F.filter(reached, lambda t: t.isNotNull()))
+    known = df.filter(F.col(event).isin(list(steps))).select(key, F.unix_micros(F.col(time).cast("timestamp")).alias("_t"), F.col(event).alias("_e"))
+    before = Window.partitionBy(key).orderBy("_t", "_e").rowsBetween(Window.unboundedPreceding, -1)
+    runs = known.withColumn("_s0", F.when(F.col("_e") == steps[0], F.col("_t")))
+    for i, step in enumerate(steps[1:], 1):
+        runs = runs.withColumn("_b", F.max(f"_s{i - 1}").over(before))
+        runs = runs.withColumn(f"_s{i}", F.when((F.col("_e") == step) & (F.col("_t") - F.col("_b") <= seconds * 1_000_000), F.col("_b")))
+    reached = F.greatest(F.lit(0), *(F.when(F.col(f"_s{i}").isNotNull(), i + 1) for i in range(len(steps))))
+    levels = runs.groupBy(key).agg(F.max(reached).alias("level"))
     people = df.select(key).distinct()
-    return people.join(lists.select(key, level.alias("level")), key, "left").select(key, F.coalesce("level", F.lit(0)).alias("level"))
+    return people.join(levels, key, "left").select(key, F.coalesce("level", F.lit(0)).alias("level"))
 
 
 def sequence_match(df: DataFrame, key: str, time: str, event: str, codes: dict[str, str], pattern: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -30,38 +31,30 @@ def final_rows(df: DataFrame, keys: Sequence[str], version: Sequence[Column]) ->
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*version)).alias("_r")).select(*keys, "_r.*").select(*df.columns)
 
 
-def with_ties(df: DataFrame, n: int, order: Sequence[Column]) -> DataFrame:
-    """The first n rows and those that tie with the n-th: the n-th row's keys come from a top-n, the rest is a filter."""
-    keyed = df.withColumns({f"_o{i}": _key(o) for i, o in enumerate(order)})
-    names = [f"_o{i}" for i in range(len(order))]
-    ends = keyed.select(*names).orderBy(*(_again(o, name) for o, name in zip(order, names, strict=True))).limit(n)
-    last = ends.orderBy(*(_reversed(o, name) for o, name in zip(order, names, strict=True))).limit(1).select(F.struct(*names).alias("_last"))
+def with_ties(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
+    """The first n rows and those that tie with the n-th: the n-th row's keys come from a top-n, the rest is a filter.
+
+    order: SQL expressions, each with ASC (nulls first) or DESC (nulls last) after it, or neither.
+    """
+    parts = [_order(o) for o in order]
+    names = [f"_o{i}" for i in range(len(parts))]
+    keyed = df.withColumns({name: F.expr(text) for name, (text, _) in zip(names, parts, strict=True)})
+    way = lambda back: [F.col(name).asc() if up != back else F.col(name).desc() for name, (_, up) in zip(names, parts, strict=True)]
+    ends = keyed.select(*names).orderBy(*way(False)).limit(n)
+    last = ends.orderBy(*way(True)).limit(1).select(F.struct(*names).alias("_last"))
     out = keyed.join(F.broadcast(last))
     before, tie = F.lit(False), F.lit(True)
-    for o, name in zip(order, names, strict=True):
-        here = F.col(name) < F.col(f"_last.{name}") if _ascending(o) else F.col(name) > F.col(f"_last.{name}")
-        before, tie = before | (tie & here), tie & F.col(name).eqNullSafe(F.col(f"_last.{name}"))
+    for name, (_, up) in zip(names, parts, strict=True):
+        here, there = F.col(name), F.col(f"_last.{name}")
+        first = (here.isNull() & there.isNotNull()) | (here < there) if up else (here.isNotNull() & there.isNull()) | (here > there)
+        before, tie = before | (tie & F.coalesce(first, F.lit(False))), tie & here.eqNullSafe(there)
     return out.filter(before | tie).drop(*names, "_last")
 
 
-def _text(o: Column) -> str:
-    return o._jc.toString() if hasattr(o, "_jc") else str(o)
-
-
-def _ascending(o: Column) -> bool:
-    return " DESC" not in _text(o)
-
-
-def _key(o: Column) -> Column:
-    return F.expr(_text(o).split(" ASC")[0].split(" DESC")[0])
-
-
-def _again(o: Column, name: str) -> Column:
-    return F.col(name).asc() if _ascending(o) else F.col(name).desc()
-
-
-def _reversed(o: Column, name: str) -> Column:
-    return F.col(name).desc() if _ascending(o) else F.col(name).asc()
+def _order(text: str) -> tuple[str, bool]:
+    """(expression, is it ascending?)."""
+    m = re.fullmatch(r"(.*?)(?:\s+(ASC|DESC))?\s*", text, re.I | re.S)
+    return m[1], (m[2] or "ASC").upper() == "ASC"
 
 
 def top_percent(df: DataFrame, percent: float, order: Sequence[str]) -> DataFrame:
@@ -79,12 +72,31 @@ def with_fill(df: DataFrame, key: str, start: Column, end: Column, step: Column,
     """
     grid = (df.select(*by).distinct() if by else df.sparkSession.range(1).drop("id")).select(*by, F.explode(F.sequence(start, end, step)).alias(key))
     out = grid.join(df, [*by, key], "left")
+    if interpolate and not by:
+        from lattica.operators.joins import carried_forward
+
+        return carried_forward(out, [key], list(interpolate))
     if interpolate:
-        w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+        w = Window.partitionBy(*by).orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
         out = out.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in interpolate})
     return out
 
 
+def fill_stale(df: DataFrame, key: str, step: Column, staleness: Column, by: Sequence[str] = ()) -> DataFrame:
+    """WITH FILL STALENESS: after each row, rows for every step that lies before the next row and less than `staleness` away; their other columns are null."""
+    if by:
+        following = df.withColumn("_next", F.lead(key).over(Window.partitionBy(*by).orderBy(key)))
+    else:
+        from lattica.operators.joins import numbered
+
+        keys = numbered(df.select(key).distinct(), [key], "_n")
+        following = df.join(keys, key).join(keys.select((F.col("_n") - 1).alias("_n"), F.col(key).alias("_next")), "_n", "left").drop("_n")
+    at = F.sequence(F.col(key), F.greatest(F.col(key), F.col(key) + staleness - step), step)
+    out = following.withColumn("_at", F.explode(at)).filter(F.col("_next").isNull() | (F.col("_at") < F.col("_next")) | (F.col("_at") == F.col(key)))
+    own = F.col("_at") == F.col(key)
+    return out.select(*(F.col("_at").alias(c) if c == key else F.col(c) if c in by else F.when(own, F.col(c)).alias(c) for c in df.columns))
+
+
 def groups_frame(df: DataFrame, value, by: Sequence[str], order: Sequence[Column], before: int, after: int, name: str) -> DataFrame:
     """value (an aggregate) over GROUPS BETWEEN before PRECEDING AND after FOLLOWING: a range frame over the dense rank."""
     w = Window.partitionBy(*by)
@@ -116,8 +128,6 @@ def avg_excluding(df: DataFrame, column: str, by: Sequence[str], order: Sequence
 
 def star_apply(df: DataFrame, pattern: str, function) -> DataFrame:
     """COLUMNS('pattern') APPLY(function): the function of every column whose name matches, under the column's name."""
-    import re
-
     return df.select(*(function(F.col(c)).alias(c) for c in df.columns if re.search(pattern, c)))
 
 

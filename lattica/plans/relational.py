@@ -269,7 +269,7 @@ both("order_limit_offset", "SELECT o_orderkey FROM orders ORDER BY o_totalprice
 
 @query("SELECT p_partkey, p_size FROM (SELECT p_partkey, p_size, rank() OVER (ORDER BY p_size DESC) AS r FROM part) WHERE r <= 10")
 def limit_with_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows.with_ties(table(spark, sf_dir, "part").select("p_partkey", "p_size"), 10, [F.desc("p_size")])
+    return rows.with_ties(table(spark, sf_dir, "part").select("p_partkey", "p_size"), 10, ["p_size DESC"])
 
 
 @query("SELECT s_suppkey FROM (SELECT s_suppkey, row_number() OVER (ORDER BY s_acctbal, s_suppkey) AS r, count(*) OVER () AS c FROM supplier) WHERE r <= ceil(15 * c / 100.0)")

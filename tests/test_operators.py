@@ -29,7 +29,7 @@ def test_paste_is_as_long_as_the_shorter_side(spark):
 
 def test_ties(spark):
     df = spark.createDataFrame([(1,), (2,), (2,), (3,), (None,)], "x int")
-    assert sorted(r.x for r in rows.with_ties(df, 2, [F.desc("x")]).collect()) == [2, 2, 3]
+    assert sorted(r.x for r in rows.with_ties(df, 2, ["x DESC"]).collect()) == [2, 2, 3]
 
 
 def test_quantifiers_over_nulls_and_nothing(spark):
