@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from lattica.plans import catalogs, functions, relational
+from lattica.plans import catalogs, forms, functions, relational
 from lattica.session import Query
 
 FLAGSHIP = "catalog_migration_plan"
 
-_FAMILIES = (relational.QUERIES, catalogs.QUERIES, functions.QUERIES)
+_FAMILIES = (relational.QUERIES, catalogs.QUERIES, functions.QUERIES, forms.QUERIES)
 
 
 def queries() -> dict[str, Query]:

@@ -8,6 +8,7 @@ from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lattica import session
 
@@ -52,20 +53,51 @@ def statements(text: str) -> list[str]:
     return [s for s in clean if s]
 
 
+_NAME = r'((?:"(?:[^"]|"")*"|[\w$]+)(?:\s*\.\s*(?:"(?:[^"]|"")*"|[\w$]+))*)'
+_KIND = r"((?:MATERIALIZED\s+VIEW|FOREIGN\s+TABLE|EVENT\s+TRIGGER|\w+))"
+_HEADS = [
+    rf"(CREATE)\s+(?:OR\s+(?:REPLACE|ALTER)\s+)?(?:(?:UNIQUE|TEMP|TEMPORARY|UNLOGGED|RECURSIVE)\s+)*{_KIND}\s+(?:CONCURRENTLY\s+)?(?:IF\s+NOT\s+EXISTS\s+)?{_NAME}",
+    rf"(ALTER|DROP)\s+{_KIND}\s+(?:IF\s+EXISTS\s+)?(?:ONLY\s+)?{_NAME}",
+    rf"(COMMENT)\s+ON\s+{_KIND}\s+{_NAME}",
+    rf"(GRANT|REVOKE)\s+.*?\sON\s+(?:(TABLE|SEQUENCE|FUNCTION|PROCEDURE|SCHEMA|DATABASE|TYPE|VIEW)\s+)?{_NAME}",
+    rf"(INSERT)\s+INTO\s+()?{_NAME}",
+]
+
+
+def head(statement: str) -> tuple[str | None, str | None, str | None]:
+    """(action, kind, name) of a statement; a grant or an insert that says no kind is of a TABLE. Nones where the form isn't known."""
+    for form in _HEADS:
+        if m := re.match(form, statement, re.I | re.S):
+            return m[1].upper(), re.sub(r"\s+", " ", m[2] or "TABLE").upper(), re.sub(r"\s*\.\s*", ".", m[3])
+    return None, None, None
+
+
 def read_dump(spark: SparkSession, path: str) -> DataFrame:
-    """(file, pos, obj_type, name, sql): the CREATE statements of SQL files, one task for each file."""
+    """(file, pos, action, obj_type, name, sql): the statements of SQL files, one task for each file."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for file, text in zip(b["file"], b["value"], strict=True):
-                for pos, s in enumerate(statements(text)):
-                    m = re.match(r'(?is)CREATE\s+(?:OR\s+REPLACE\s+)?(?:UNIQUE\s+|TEMP(?:ORARY)?\s+|MATERIALIZED\s+)*(\w+)\s+(?:IF\s+NOT\s+EXISTS\s+)?([\w."]+)', s)
-                    rows.append((file, pos, m[1].upper() if m else None, m[2] if m else None, s))
-            yield pd.DataFrame(rows, columns=["file", "pos", "obj_type", "name", "sql"])
+            rows = [(file, pos, *head(s), s) for file, text in zip(b["file"], b["value"], strict=True) for pos, s in enumerate(statements(text))]
+            yield pd.DataFrame(rows, columns=["file", "pos", "action", "obj_type", "name", "sql"])
 
     texts = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).selectExpr("_metadata.file_path AS file", "value")
-    return texts.mapInPandas(parse, "file string, pos int, obj_type string, name string, sql string")
+    return texts.mapInPandas(parse, "file string, pos int, action string, obj_type string, name string, sql string")
+
+
+def write_project(objects: DataFrame, path: str, dropped: DataFrame | None = None) -> None:
+    """A folder for each kind and object (obj_type, name) with its text (sql). Objects that aren't given stay as they are, so changed ones alone
+    make an update; those of `dropped` (obj_type, name) are emptied, which the reader takes for gone.
+    """
+    rows = objects.select(F.col("sql").alias("value"), "obj_type", "name")
+    if dropped is not None:
+        rows = rows.unionByName(dropped.select(F.lit("").alias("value"), "obj_type", "name"))
+    rows.repartition("obj_type", "name").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("obj_type", "name").text(path)
+
+
+def read_project(spark: SparkSession, path: str) -> DataFrame:
+    """(obj_type, name, sql) of the objects of a project folder."""
+    texts = spark.read.schema("value string, obj_type string, name string").text(path, wholetext=True)
+    return texts.select("obj_type", "name", F.regexp_replace("value", r"\n\z", "").alias("sql")).filter("sql <> ''")
 
 
 def export(df: DataFrame, path: str, by: Sequence[str]) -> None:
