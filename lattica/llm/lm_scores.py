@@ -312,11 +312,11 @@ def scores_by_range(chunks: DataFrame, starts: int, z: float, weight: float, bit
                 n = np.bincount(words[s[word]], minlength=len(grams)) + np.bincount(pairs[seen[places]], minlength=len(grams))
                 ends = np.searchsorted(grams >> np.uint64(64 - bits), np.arange((1 << bits) + 1).astype(np.uint64))
                 short = (grams << np.uint64(bits)) >> np.uint64(64 - 8 * SHORT)
-                rows = [(p, _packed(short[a:e], SHORT), _packed(n[a:e], 4)) for p, (a, e) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if e > a]
+                rows = [(p, _packed(np.diff(short[a:e], prepend=np.uint64(0)), SHORT), _packed(n[a:e], 4)) for p, (a, e) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if e > a]
                 yield pa.record_batch([pa.array([row] * len(rows), pa.int64()), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int32(), pa.binary(), pa.binary())))], ["_row", "part", "grams", "counts"])
 
     def probe(key, rows):
-        grams = [_unpacked(x, SHORT) for x in rows.column("grams").to_pylist()]
+        grams = [np.cumsum(_unpacked(x, SHORT), dtype=np.uint64) for x in rows.column("grams").to_pylist()]  # sorted: sent as steps
         g, back = np.unique(np.concatenate(grams), return_inverse=True)
         c = np.bincount(back, np.concatenate([_unpacked(x, 4) for x in rows.column("counts").to_pylist()]), len(g))
         g, lev = g << np.uint64(64 - 8 * SHORT), level(c, 1)
