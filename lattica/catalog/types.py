@@ -19,7 +19,7 @@ def resolve_calls(calls: DataFrame, candidates: DataFrame, casts: DataFrame) ->
     """
     pairs = calls.join(candidates, "name").filter((F.size("args") <= F.size("params")) & (F.size("args") >= F.size("params") - F.col("defaults")))
     each = pairs.select("call", "signature", "returns", "params", F.posexplode_outer("args").alias("pos", "arg")).withColumn("param", F.get("params", F.col("pos")))
-    ok = each.join(F.broadcast(casts.withColumnsRenamed({"source": "arg", "target": "param"}).withColumn("_cast", F.lit(True))), ["arg", "param"], "left")
+    ok = each.join(casts.withColumnsRenamed({"source": "arg", "target": "param"}).withColumn("_cast", F.lit(True)), ["arg", "param"], "left")
     fits = ok.withColumn("_exact", (F.col("arg") == F.col("param")) | F.col("param").isin("any", "anyelement")).groupBy("call", "signature", "returns").agg(
         F.bool_and(F.coalesce(F.col("_exact") | F.coalesce("_cast", F.lit(False)), F.lit(True))).alias("_ok"), F.count_if("_exact").alias("exact")
     )

@@ -329,3 +329,37 @@ def change_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = old.join(new, "k", "full_outer").filter(~F.col("v").eqNullSafe(F.col("v2")))
     change = F.when(F.col("v").isNull(), "INSERTED").when(F.col("v2").isNull(), "DELETED").otherwise("CHANGED")
     return both.select(F.lit("part").alias("tbl"), "k", F.coalesce("v2", "v").alias("v"), change.alias("change"))
+
+
+# --- the same on as many rows as the tables have ------------------------------------------------------------------
+
+
+@query("SELECT l_orderkey || '-' || l_linenumber AS fk, 'k' || p_partkey AS key FROM lineitem JOIN part ON l_partkey = p_partkey AND l_suppkey % 2 = p_size % 2 AND l_linenumber % 3 = p_size % 3")
+def catalog_key_edges_of_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines, parts = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    fks = lines.selectExpr("concat(l_orderkey, '-', l_linenumber) AS fk", "concat('t', l_partkey) AS ref_table", "array(concat('a', l_suppkey % 2), concat('b', l_linenumber % 3)) AS ref_columns")
+    keys = parts.selectExpr("concat('k', p_partkey) AS key", "concat('t', p_partkey) AS tbl", "array(concat('a', p_size % 2), concat('b', p_size % 3)) AS cols")
+    return graph.key_edges(fks, keys)
+
+
+@query("SELECT 'q' || o_orderkey AS query, 'k' || c_custkey AS key FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_custkey % 3 <> 0 OR o_orderkey % 2 = 1")
+def catalog_group_by_key_of_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped = table(spark, sf_dir, "orders").selectExpr("concat('q', o_orderkey) AS query", "concat('t', o_custkey) AS tbl", "IF(o_orderkey % 2 = 1, array('b', 'a', 'c'), array('b', 'a')) AS cols")
+    keys = table(spark, sf_dir, "customer").selectExpr("concat('k', c_custkey) AS key", "concat('t', c_custkey) AS tbl", "IF(c_custkey % 3 = 0, array('a', 'c'), array('a', 'b')) AS cols")
+    return graph.group_by_key_edges(grouped, keys)
+
+
+@query("SELECT min(seq) AS \"first\", max(seq) AS \"last\", tbl, min(action) AS action, count(*) AS n FROM (SELECT *, sum(new) OVER (ORDER BY seq) AS i FROM (SELECT *, CASE WHEN action = 'ALTER' AND lag(action) OVER o = 'ALTER' AND lag(tbl) OVER o = tbl AND lag(seq) OVER o = seq - 1 THEN 0 ELSE 1 END AS new FROM (SELECT event_id AS seq, event_type AS tbl, CASE WHEN user_id % 4 = 0 THEN 'DROP' ELSE 'ALTER' END AS action FROM events) WINDOW o AS (ORDER BY seq))) GROUP BY tbl, i")
+def catalog_merged_alters_of_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plan.merged_alters(table(spark, sf_dir, "events").selectExpr("event_id AS seq", "event_type AS tbl", "IF(user_id % 4 = 0, 'DROP', 'ALTER') AS action"))
+
+
+@query(
+    "SELECT o_orderkey AS call, v.signature, v.returns FROM (SELECT o_orderkey, 'f' || o_custkey % 3 AS name, ['int', 'bigint', 'double', 'date'][o_orderkey % 4 + 1] AS arg FROM orders) c "
+    "JOIN (VALUES ('f0', 'int', 'f0(bigint)', 'bigint'), ('f0', 'bigint', 'f0(bigint)', 'bigint'), ('f0', 'double', 'f0(double)', 'double'), ('f1', 'int', 'f1(any)', 'text'), ('f1', 'bigint', 'f1(any)', 'text'), ('f1', 'double', 'f1(any)', 'text'), ('f1', 'date', 'f1(any)', 'text'), ('f2', 'date', 'f2(date,int)', 'date')) v(name, arg, signature, returns) ON c.name = v.name AND c.arg = v.arg"
+)
+def catalog_overloads_of_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS call", "concat('f', o_custkey % 3) AS name", "array(element_at(array('int', 'bigint', 'double', 'date'), CAST(o_orderkey % 4 + 1 AS INT))) AS args")
+    known = [("f0", "f0(bigint)", ["bigint"], 0, "bigint"), ("f0", "f0(double)", ["double"], 0, "double"), ("f1", "f1(any)", ["any"], 0, "text"), ("f2", "f2(date,int)", ["date", "int"], 1, "date")]
+    casts = spark.createDataFrame([("int", "bigint"), ("int", "double"), ("bigint", "double")], "source string, target string")
+    return types.resolve_calls(calls, spark.createDataFrame(known, "name string, signature string, params array<string>, defaults int, returns string"), casts)
