@@ -21,6 +21,17 @@ def any_join(left: DataFrame, right: DataFrame, on: Sequence[str], order: Sequen
     return left.join(first.select(*on, "_r.*"), list(on), how)
 
 
+def lateral_top(left: DataFrame, right: DataFrame, left_key: str, right_key: str, order: Sequence[Column], n: int) -> DataFrame:
+    """LATERAL (... WHERE right_key = left_key ORDER BY order LIMIT n): each left row with the first n right rows of its key; those without any go.
+
+    Spark's own rewrite numbers a key's rows in the order in which they arrive after a shuffle, whatever the ORDER BY; here the window has the
+    order. Its limit is applied before the shuffle too, so a hot key costs n rows for each task.
+    """
+    w = Window.partitionBy(right_key).orderBy(*order)
+    first = right.filter(F.col(right_key).isNotNull()).withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n).drop("_n")
+    return left.join(first, F.col(left_key) == F.col(right_key))
+
+
 def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str, right_time: str, values: Sequence[str], how: str = "left", bucket: float | None = None) -> DataFrame:
     """For each left row the right row of the same key with the greatest time not after its own.
 

@@ -133,7 +133,6 @@ two("join_semi", "SELECT c_custkey FROM customer LEFT SEMI JOIN orders ON o_cust
 two("join_anti", "SELECT o_orderkey FROM orders LEFT ANTI JOIN lineitem ON l_orderkey = o_orderkey", "SELECT o_orderkey FROM orders ANTI JOIN lineitem ON l_orderkey = o_orderkey")
 both("join_constant", "SELECT count(*) AS n FROM region LEFT JOIN nation ON false")
 two("join_null_safe", "SELECT count(*) AS n FROM (SELECT nullif(n_regionkey, 1) AS k FROM nation) a JOIN (SELECT nullif(r_regionkey, 1) AS k FROM region) b ON a.k <=> b.k", "SELECT count(*) AS n FROM (SELECT nullif(n_regionkey, 1) AS k FROM nation) a JOIN (SELECT nullif(r_regionkey, 1) AS k FROM region) b ON a.k IS NOT DISTINCT FROM b.k")
-two("join_lateral", "SELECT c_custkey, t.o_orderkey FROM customer, LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2) t", "SELECT c_custkey, t.o_orderkey FROM customer, LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2) t")
 two("join_hints", "SELECT /*+ BROADCAST(n) */ n_name, count(*) AS k FROM supplier s JOIN nation n ON s_nationkey = n_nationkey GROUP BY n_name", "SELECT n_name, count(*) AS k FROM supplier s JOIN nation n ON s_nationkey = n_nationkey GROUP BY n_name")
 for _hint in ("MERGE", "SHUFFLE_HASH", "SHUFFLE_REPLICATE_NL"):
     two(f"join_hint_{_hint.lower()}", f"SELECT /*+ {_hint}(n) */ n_name, count(*) AS k FROM supplier s JOIN nation n ON s_nationkey = n_nationkey GROUP BY n_name", "SELECT n_name, count(*) AS k FROM supplier s JOIN nation n ON s_nationkey = n_nationkey GROUP BY n_name")
@@ -149,6 +148,13 @@ def join_any(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.any_join(table(spark, sf_dir, "customer").select("c_custkey"), orders, ["c_custkey"], [F.col("o_orderkey")])
 
 
+@query("SELECT c_custkey, t.o_orderkey FROM customer, LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2) t")
+def join_lateral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    order = [F.col("o_totalprice").desc_nulls_last(), F.col("o_orderkey").asc_nulls_last()]  # nulls as in DuckDB
+    return joins.lateral_top(table(spark, sf_dir, "customer").select("c_custkey"), orders, "c_custkey", "o_custkey", order, 2).select("c_custkey", "o_orderkey")
+
+
 @query("SELECT e.event_id, v.event_id AS view_id FROM (SELECT * FROM events WHERE event_type = 'purchase') e ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON e.user_id = v.user_id AND e.ts >= v.ts")
 def join_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")

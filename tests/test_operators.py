@@ -87,3 +87,29 @@ def test_mann_whitney_over_many_ranges(spark):
     u = sum(bisect_left(b, x) + (bisect_right(b, x) - bisect_left(b, x)) / 2 for x in a)
     got = aggregates.mann_whitney(df, "g", "v", "a", "b").first()
     assert (got.u1, got.u2) == (u, len(a) * len(b) - u)
+
+
+def test_lateral_top_keeps_its_order_whatever_order_rows_arrive_in(spark):
+    from lattica.plans import relational
+
+    conf, name = spark.sparkContext._jsc.sc().conf(), "spark.shuffle.spill.numElementsForceSpillThreshold"
+    d = _written(spark, {"customer": spark.range(20).selectExpr("id AS c_custkey").union(spark.range(3)), "orders": spark.range(0, 20_000, 1, 8).selectExpr("id AS o_orderkey", "nullif(id % 20, 7) AS o_custkey", "double((id * 7919) % 5003) AS o_totalprice")})
+    best = {k: sorted((-((i * 7919) % 5003), i) for i in range(k, 20_000, 20))[:2] for k in range(20) if k != 7}
+    want = sorted((k, i) for k, two in best.items() for _, i in two * (2 if k < 3 else 1))
+    conf.set(name, "100")  # sorts spill, so rows that are equal for a sort come in any order, as they do from other machines
+    try:
+        assert sorted((r.c_custkey, r.o_orderkey) for r in relational.QUERIES["join_lateral"][0](spark, d).collect()) == want
+    finally:
+        conf.remove(name)
+    nulls = spark.createDataFrame([(1, None, 5.0), (1, 3, 5.0), (1, 2, 5.0), (1, 9, None), (2, 4, None)], "o_custkey long, o_orderkey long, o_totalprice double")
+    d = _written(spark, {"customer": spark.range(4).toDF("c_custkey"), "orders": nulls})
+    assert sorted((r.c_custkey, r.o_orderkey) for r in relational.QUERIES["join_lateral"][0](spark, d).collect()) == [(1, 2), (1, 3), (2, 4)]
+
+
+def _written(spark, tables):
+    import tempfile
+
+    d = tempfile.mkdtemp()
+    for t, df in tables.items():
+        df.write.parquet(f"{d}/{t}.parquet")
+    return d
