@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm.common import text_bytes, written
@@ -38,6 +38,8 @@ NEAR = 1e-5
 SLOW = 0.1
 #: Where totals may grow, the factor beyond the least that no domain must shrink for: soft members of other domains add a little.
 GROWN = 1.03
+#: Copies of a row that are made at once, and copies that a task makes about, where some row has more than the former.
+COPIES, TASK_COPIES = 1_000, 1_000_000
 
 
 def slots_of(texts: pa.Array) -> list[np.ndarray]:
@@ -173,11 +175,30 @@ def mix(spark: SparkSession, docs: DataFrame, labelled: DataFrame, targets: dict
     return soft.select(F.col("_id").alias(id), F.col("__tokens").alias("n_tokens"), *(F.get("__p", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(domains)), _rate(steps, low, high).alias("rate"))
 
 
+def repeated(soft: DataFrame, times: Column, columns: list[str], at_once: int = COPIES) -> DataFrame:
+    """columns of soft, each row as often as times (long, 1 or more) says, however often that is.
+
+    Rows with more than at_once copies go to tasks as parts of so many, so neither a list of all copies of a row nor a task that makes them all is needed.
+    """
+    counted = soft.withColumn("__times", times)
+    each = lambda df, n: df.withColumn("__copy", F.explode(F.sequence(F.lit(1), n.cast("int")))).select(*columns)
+    many = counted.filter(F.col("__times") > at_once)
+    copies = many.agg(F.sum("__times")).first()[0]
+    if not copies:
+        return each(counted, F.col("__times"))
+    spark = soft.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(copies / TASK_COPIES))
+    last = F.floor((F.col("__times") - 1) / at_once)
+    parts = many.select(*columns, "__times", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("__part")).repartition(tasks)
+    rest = F.least(F.lit(at_once).cast("long"), F.col("__times") - F.col("__part") * at_once)
+    return each(counted.filter(F.col("__times") <= at_once), F.col("__times")).unionByName(each(parts, rest))
+
+
 def resampled(spark: SparkSession, docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id: str = "doc_id", text: str = "text", domain: str = "domain", high: float = math.inf) -> DataFrame:
     """The rows of docs, each once or more: floor(rate + u) times, u in [0, 1) hashed from id and text; rates are 1 or more, as high as targets ask.
 
-    A null text counts as empty and stays once or more, as does a row with a null id. Repeated rows are repeated alike. An empty table: no rows. docs must not
-    have columns named __tokens, __p, __times.
+    A text without words has no tokens to bring a domain nearer to its target and stays once; so does a null one, which counts as empty. A row with a null id
+    stays once or more. Repeated rows are repeated alike. An empty table: no rows. docs must not have columns named __tokens, __p, __times, __part, __copy.
     """
     domains = sorted(targets)
     bounded_batches(spark)
@@ -186,5 +207,5 @@ def resampled(spark: SparkSession, docs: DataFrame, labelled: DataFrame, targets
     soft = written(spark, memberships(spark, docs, weights, text), "memberships")
     steps = fit_rates(soft.select("__tokens", "__p"), [targets[d] for d in domains], 1.0, high, grow=True)
     u = F.pmod(F.xxhash64(id, text), F.lit(1 << 20)) / float(1 << 20)
-    times = F.floor(_rate(steps, 1.0, high) + u).cast("int")
-    return soft.withColumn("__times", F.explode(F.sequence(F.lit(1), times))).select(*columns)
+    times = F.when(F.col("__tokens") > 0, F.floor(_rate(steps, 1.0, high) + u)).otherwise(F.lit(1).cast("long"))
+    return repeated(soft, times, columns)

@@ -552,6 +552,27 @@ def test_resampling_meets_targets_on_a_skewed_mix(spark):
         assert got[d] / got.total() == pytest.approx(targets[d], abs=0.015)
 
 
+def test_resampling_repeats_rare_texts_in_parts_and_wordless_ones_not_at_all(spark, monkeypatch):
+    docs = make(spark, ["the dog and a cat in house " * 10 for _ in range(50)] + ["", None, " \n", "zzz"])
+    labels = spark.createDataFrame([(i, "en") for i in range(1, 51)], "doc_id long, domain string")
+    times = Counter(r.doc_id for r in mixing.resampled(spark, docs, labels, queries.LANGUAGES).select("doc_id").collect())
+    assert [times[i] for i in (51, 52, 53)] == [1, 1, 1] and times[54] > mixing.COPIES and set(times) == set(range(1, 55))
+    monkeypatch.setattr(mixing, "fit_rates", lambda *args, **more: [[-1e11] * 4])  # more copies than an int counts
+    wordless = docs.filter("doc_id BETWEEN 51 AND 53")
+    assert Counter(r.doc_id for r in mixing.resampled(spark, wordless, labels, queries.LANGUAGES).collect()) == {51: 1, 52: 1, 53: 1}
+
+
+def test_repeated_rows_are_dealt_to_tasks(spark, monkeypatch):
+    n = [1, 2, 10, 11, 20, 21, 5_003]
+    df = spark.createDataFrame([(i, k) for i, k in enumerate(n)], "i long, n long")
+    for at_once in (1, 10, 10_000):
+        assert Counter(r.i for r in mixing.repeated(df, F.col("n"), ["i"], at_once).collect()) == dict(enumerate(n))
+    monkeypatch.setattr(mixing, "TASK_COPIES", 100_000)
+    one = mixing.repeated(spark.range(1), F.lit(2_000_500).cast("long"), ["id"])
+    sizes = one.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r[1] for r in sizes) == 2_000_500 and max(r[1] for r in sizes) <= 200_000
+
+
 def test_pipeline_by_stages(spark):
     import corpus_pipeline as cp
 
